@@ -142,7 +142,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     base = materialize(base.select("doc_id", "__id", "__h", sign("text").alias("fp")), "prints")
     prints = materialize(base.groupBy("fp").agg(F.min("__id").alias("least")), "fps")
-    pairs = materialize(links(prints.select("fp").repartition("fp")), "pairs")
+    # each row becomes some sixty: the number of tasks must not follow the few bytes before
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialize(links(prints.select("fp").repartition(tasks, "fp")), "pairs")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(pairs)
     known = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
@@ -151,7 +153,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = prints.join(of_root, "fp", "left").select(
         "fp", F.coalesce("smallest", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "fp").alias("class")
     )
-    return base.join(classes, "fp").select(
+    # written, so that AQE can split the join where a fingerprint is hot
+    return base.join(materialize(classes, "classes"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "class", "__id", "__h"
     )
 
