@@ -19,7 +19,7 @@ def blank(x: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """Correctly rounded fixed point without grouping: 0.125 is 0.12, 2.675 is 2.67."""
-    return F.format_number(x, "0" if digits == 0 else "0." + "0" * digits)
+    return F.call_function("format_number", x.cast("double"), F.lit("0" if digits == 0 else "0." + "0" * digits))
 
 
 def percent(x: Column, digits: int) -> Column:

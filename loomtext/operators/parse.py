@@ -135,8 +135,8 @@ def parse(docs: DataFrame, profile: Profile = LATIN, text: str = "text", doc_id:
         return F.when((x["masked"] == x["raw"]) | (F.length(x["masked"]) != F.length(x["raw"])), same).otherwise(apart)
 
     df = keep(df, "sentences", F.filter(F.flatten(F.transform("lines", pieces)), lambda s: s["text"] != ""))
-    starts = F.filter("lines", lambda x, i: ~blank(x["masked"]) & ((i == 0) | blank(F.element_at("lines", F.greatest(i, F.lit(1)))["masked"])))
-    ends = F.filter("lines", lambda x, i: ~blank(x["masked"]) & ((i + 1 == F.size("lines")) | blank(F.element_at("lines", F.least(i + 2, F.size("lines")))["masked"])))
+    starts = F.filter("lines", lambda x, i: ~blank(x["masked"]) & ((i == 0) | blank(F.get("lines", i - 1)["masked"])))
+    ends = F.filter("lines", lambda x, i: ~blank(x["masked"]) & ((i + 1 == F.size("lines")) | blank(F.get("lines", i + 1)["masked"])))
     df = keep(df, "__p", F.zip_with(starts, ends, lambda a, b: F.struct(a["line"].alias("a"), b["line"].alias("b"))))
     paragraphs = F.transform(
         "__p",
