@@ -43,6 +43,33 @@ with base as (
 )
 select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, room)))::bigint as taken from ordered
 """,
-    "op10_quality": None,
+    "op2_decontaminate": r"""
+with dw as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents
+), bw as (
+  select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), bk as (select item, w, least(13, len(w)) as k from bw where len(w) > 0
+), bwin as (
+  select distinct item, k, array_to_string(w[i:i + k - 1], ' ') as g from (select item, w, k, unnest(range(1, len(w) - k + 2)) as i from bk)
+), pos as (
+  select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from dw, (select distinct k from bwin))
+), hit as (select doc_id, i, pos.k, item from pos join bwin on pos.k = bwin.k and pos.g = bwin.g
+), n_hits as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from hit) group by doc_id
+), items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hit) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from dw left join n_hits using (doc_id) left join items using (doc_id)
+""",
+    "op5_substring_dedup": r"""
+with dw as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents
+), pos as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from dw)
+), firsts as (select g, min(doc_id) as d from pos group by g
+), gone as (select distinct doc_id, unnest(range(i, i + 13)) as j from pos join firsts using (g) where doc_id > d
+), words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as j from dw
+), kept as (
+  select doc_id, count(gone.j) as n_removed, string_agg(x, ' ' order by words.j) filter (gone.j is null) as k
+  from words left join gone using (doc_id, j) group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256 from dw left join kept using (doc_id)
+""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
