@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -269,31 +272,35 @@ def lexical_diversity(tokenized: DataFrame, profile: Profile = LATIN) -> DataFra
     chars = F.aggregate("sentences", F.lit(0), lambda a, s: a + F.length(s["raw"]))
     types, n = F.size(F.array_distinct("__t")), F.size("__t")
     ok = (chars >= p.diversity_chars) & (n >= p.diversity_tokens)
-    return df.select("doc_id", chars.alias("chars"), n.alias("tokens"), types.alias("types"), F.when(ok, types / F.nullif(n, F.lit(0))).alias("ttr"), F.when(ok, mtld(F.col("__t"))).alias("mtld"))
+    return df.select("doc_id", chars.alias("chars"), n.alias("tokens"), types.alias("types"), F.when(ok, types / F.nullif(n, F.lit(0))).alias("ttr"), mtld(F.when(ok, F.col("__t"))).alias("mtld"))
+
 
+def mtld_of(tokens: list[str], factor: float = 0.72) -> float | None:
+    """Mean of the forward and the backward measure; null under 20 tokens."""
+    if len(tokens) < 20:
+        return None
 
-def mtld(tokens: Column, factor: float = 0.72) -> Column:
-    """Mean of the forward and the backward measure; null under 20 tokens. A fold with a set of types."""
+    def one_way(words: list[str]) -> float:
+        factors, types, n = 0.0, set(), 0
+        for w in words:
+            types.add(w)
+            n += 1
+            if len(types) / n < factor:
+                factors, types, n = factors + 1, set(), 0
+        if n:
+            factors += (1 - len(types) / n) / (1 - factor)
+        return len(words) / factors if factors else float(len(words))
 
-    def one_way(xs: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("f"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("types"))
+    return (one_way(tokens) + one_way(tokens[::-1])) / 2
 
-        def step(a: Column, w: Column) -> Column:
-            types = F.when(F.array_contains(a["types"], w), a["types"]).otherwise(F.array_append(a["types"], w))
-            n = a["n"] + 1
-            full = F.size(types) / n < factor
-            return F.struct(
-                F.when(full, a["f"] + 1.0).otherwise(a["f"]).alias("f"), F.when(full, 0).otherwise(n).alias("n"),
-                F.when(full, F.array().cast("array<string>")).otherwise(types).alias("types"),
-            )
 
-        def end(a: Column) -> Column:
-            rest = F.when(a["n"] > 0, (1 - F.size(a["types"]) / F.nullif(a["n"], F.lit(0))) / (1 - factor)).otherwise(0.0)
-            return F.when(a["f"] + rest > 0, F.size(xs) / F.nullif(a["f"] + rest, F.lit(0.0))).otherwise(F.size(xs).cast("double"))
+def mtld_batch(tokens: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else mtld_of(t) for t in tokens.to_pylist()], pa.float64())
 
-        return F.aggregate(xs, start, step, end)
 
-    return F.when(F.size(tokens) >= 20, (one_way(tokens) + one_way(F.reverse(tokens))) / 2)
+def mtld(tokens: Column) -> Column:
+    """A fold whose state is a set: as a column expression each step would copy the set."""
+    return F.arrow_udf(mtld_batch, "double")(tokens)
 
 
 def diversity(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
@@ -334,3 +341,11 @@ def lint(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     ])
 
 
+
+
+def replace_params(profile: Profile, **values) -> Profile:
+    return replace(profile, params=replace(profile.params, **values))
+
+
+def replace_lists(profile: Profile, **values) -> Profile:
+    return replace(profile, **values)
