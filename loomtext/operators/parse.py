@@ -21,7 +21,7 @@ QUOTE = f"^[{WS}]*>"
 TABLE = f"^[{WS}]*\\|.*\\||^[{WS}]*\\|?[{WS}:|-]+\\|[{WS}:|-]*\\|?[{WS}]*$"
 STRUCTURE = f"{HEADING}|{LIST_ITEM}|{QUOTE}|{TABLE}"
 COMMENT = r"(?s)<!(?:-->|--->|--.*?(?:-->|\z))"
-LINK = r"\]\([^)\n]*\)"
+LINK = r"(?<=\]\()[^)\n]+(?=\))"
 #: Texts with any of these need the sequential mask; all others are masked line by line in SQL.
 SEQUENTIAL = f"\\A---[{WS}]*(?:\n|\\z)|```|~~~|<!--|`"
 
