@@ -17,59 +17,70 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(cells: DataFrame, quotas: list[int], rounds: int = 6) -> DataFrame:
-    """Moves whole (group, shard) cells towards the shard where most of their group is.
+def _flows(demand: dict[tuple[int, int], int], room: list[int]) -> list[list[int]]:
+    """Rows that may move between each two shards: what both directions ask for is exchanged, and what
+    is left of a demand takes the room that the shard has."""
+    n = len(room)
+    room, out = room.copy(), [[0] * n for _ in range(n)]
+    for s in range(n):
+        for t in range(n):
+            out[s][t] = min(demand.get((s, t), 0), demand.get((t, s), 0))
+    for t in range(n):
+        for s in sorted(range(n), key=lambda s: (room[s], s)):  # the fullest shard first
+            more = max(0, min(demand.get((s, t), 0) - out[s][t], room[t]))
+            out[s][t] += more
+            room[t] -= more
+    return out
+
+
+def propagate(cells: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame:
+    """Moves (group, shard) cells towards the shard where most of their group is.
 
     ``cells``: g1, g2, shard, n (rows of the group in the shard). In each round every cell away from
-    its group's largest cell asks to move there. A shard admits requests, largest first, while its
-    quota has room; the request at the edge is admitted in part, so a group larger than a shard fills
-    it and leaves the rest behind. Rooms are counted against loads before the round, hence quotas
-    always hold. A round is one join of cells with the group's best shard; the running sums that
-    admit requests are taken over buckets first (size class, hash), then within a bucket.
-
-    When a group's best shard is full, its next choice counts: shards without room are left out.
-    Ends after ``rounds`` or when nothing moves.
+    its group's largest cell (ties by a hash) asks to move there; in every second round only shards
+    with room count, so that groups whose best shard stays full find another. Demands between shards
+    are summed (shards x shards numbers), exchanges and rooms give the rows that may move, and requests
+    are admitted, largest first, up to that: the one at the edge in part, so a group larger than a
+    shard fills it and leaves the rest behind. Loads change by the rooms only, hence quotas hold.
+
+    A round is a join of cells with their group's best shard; the running sums that admit requests are
+    taken over buckets first (size class, hash), then within a bucket.
     """
     shards = len(quotas)
-    for _ in range(rounds):
+    for turn in range(rounds):
         loads = _loads(cells, shards)
         room = [q - x for q, x in zip(quotas, loads, strict=True)]
         rooms = F.element_at(F.array(*[F.lit(int(r)) for r in room]), F.col("shard") + 1)
-        # the largest cell whose shard has room for something; a full shard can still hold what it has
-        best = cells.groupBy("g1", "g2").agg(
-            F.max_by("shard", F.struct((rooms > 0).cast("int"), F.col("n"), -F.col("shard"))).alias("to"),
-            F.max_by("n", F.struct((rooms > 0).cast("int"), F.col("n"), -F.col("shard"))).alias("to_n"),
-            F.max(F.when(rooms > 0, 1).otherwise(0)).alias("open"),
-            F.count(F.lit(1)).alias("parts"),
-        )
+        open_ = (rooms > 0).cast("int") if turn % 2 else F.lit(1)
+        rank = F.struct(open_, F.col("n"), F.xxhash64("g1", "g2", "shard"))
+        best = cells.groupBy("g1", "g2").agg(F.max_by("shard", rank).alias("to"), F.max_by("n", rank).alias("to_n"), F.max(open_).alias("open"), F.count(F.lit(1)).alias("parts"))
         wanted = cells.join(best.where("open = 1 and parts > 1"), ["g1", "g2"]).where("shard != to and n <= to_n")
         wanted = wanted.withColumn("__c", (64 - F.log2(F.col("n")).cast("int")) * 64 + F.pmod(F.xxhash64("g1", "g2"), F.lit(64)).cast("int"))
-        sums = wanted.groupBy("to", "__c").agg(F.sum("n").alias("__s"))
-        along = Window.partitionBy("to").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("to", "__c", F.coalesce(F.sum("__s").over(along), F.lit(0)).alias("__before"))
-        to_room = F.element_at(F.array(*[F.lit(int(r)) for r in room]), F.col("to") + 1)
-        inside = Window.partitionBy("to", "__c").orderBy("g1", "g2", "shard").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = materialize(wanted.select("g1", "g2", "shard", "to", "n", "__c"), "wanted")
+        demand = {(r["shard"], r["to"]): r["n"] for r in wanted.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+        allowed = _flows(demand, room)
+        if not any(map(any, allowed)):
+            if turn % 2:
+                break
+            continue
+        most = F.element_at(F.array(*[F.lit(x) for row in allowed for x in row]), F.col("shard") * shards + F.col("to") + 1)
+        along = Window.partitionBy("shard", "to").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+        sums = wanted.groupBy("shard", "to", "__c").agg(F.sum("n").alias("__s"))
+        sums = sums.select("shard", "to", "__c", F.coalesce(F.sum("__s").over(along), F.lit(0)).alias("__before"))
+        inside = Window.partitionBy("shard", "to", "__c").orderBy("g1", "g2").rowsBetween(Window.unboundedPreceding, -1)
         moved = (
-            wanted.join(sums.where(F.col("__before") < to_room), ["to", "__c"])
+            wanted.join(sums.where(F.col("__before") < most), ["shard", "to", "__c"])
             .withColumn("__at", F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .withColumn("__m", F.least(F.col("n"), to_room - F.col("__at")))
+            .withColumn("__m", F.least(F.col("n"), most - F.col("__at")))
             .where("__m > 0")
-            .select("g1", "g2", "shard", "to", "__m")
-        )
-        moved = materialize(moved, "moves")
-        if not moved.take(1):
-            break
-        flows = moved.select("g1", "g2", "shard", (-F.col("__m")).alias("n")).unionByName(
-            moved.select("g1", "g2", F.col("to").alias("shard"), F.col("__m").alias("n"))
-        )
-        cells = materialize(
-            cells.select("g1", "g2", "shard", "n").unionByName(flows).groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).where("n > 0"),
-            "cells",
         )
+        flows = moved.select("g1", "g2", F.explode(F.array(F.struct("shard", (-F.col("__m")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("__m").alias("n")))).alias("x"))
+        both = cells.select("g1", "g2", "shard", "n").unionByName(flows.select("g1", "g2", "x.shard", "x.n"))
+        cells = materialize(both.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "cells")
     return cells
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, __h``: a row for each row of ``docs``.
 
     Law ``rows``: counts of shards differ by one at most. Links: documents of equal text (nulls are
