@@ -59,26 +59,33 @@ def int_list(xs: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(xs.cast("array<string>"), ", "), F.lit("]"))
 
 
+_MATCHES = "array<struct<text:string,start:int,end:int>>"
+#: Matches are gathered in parts of this length, so that appending does not copy all of them each time.
+_PART = 256
+
+
 def find_all(x: Column, pattern: str) -> Column:
     """Array of (text, start, end) of the matches: no engine gives offsets, but the lengths of the
     gaps between matches and of the matches add up to them."""
     found, gaps = F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.split(x, pattern, -1)
-    state = F.aggregate(
+    none = F.array().cast(_MATCHES)
+
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + F.length(p["g"])
+        end = start + F.length(p["m"])
+        part = F.array_append(a["part"], F.struct(p["m"].alias("text"), start.alias("start"), end.alias("end")))
+        full = F.size(a["part"]) + 1 >= _PART
+        return F.struct(
+            end.alias("at"), F.when(full, none).otherwise(part).alias("part"), F.when(full, F.array_append(a["parts"], part)).otherwise(a["parts"]).alias("parts")
+        )
+
+    out = F.aggregate(
         F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"),
-            F.array_append(
-                a["out"],
-                F.struct(
-                    p["m"].alias("text"),
-                    (a["at"] + F.length(p["g"])).alias("start"),
-                    (a["at"] + F.length(p["g"]) + F.length(p["m"])).alias("end"),
-                ),
-            ).alias("out"),
-        ),
+        F.struct(F.lit(0).alias("at"), none.alias("part"), F.array().cast(f"array<{_MATCHES}>").alias("parts")),
+        step,
+        lambda a: F.flatten(F.array_append(a["parts"], a["part"])),
     )
-    return F.when(x.rlike(pattern), state["out"]).otherwise(F.array().cast("array<struct<text:string,start:int,end:int>>"))
+    return F.when(x.rlike(pattern), out).otherwise(none)
 
 
 def cut(x: Column, start: Column, end: Column) -> Column:

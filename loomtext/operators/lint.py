@@ -333,7 +333,7 @@ def low_specificity(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
 
 def lint(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     """All detectors that need no dictionary, as one findings table."""
-    t = with_tokens(parsed, profile)
+    t = parsed = with_tokens(parsed, profile).persist()  # parsed and tokenized once for all
     return union([
         structural(parsed, profile), forbidden_phrases(parsed, profile), translationese(parsed, profile), antithesis(parsed, profile),
         sentence_variance(parsed, profile), inanimate_subject(parsed, profile), cleft_because(parsed, profile), paragraph_leads(parsed, profile),

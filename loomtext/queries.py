@@ -23,13 +23,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt to all cores where the table has fewer splits than that. At scale it has more, and
+    nothing is moved."""
+    docs, cores = read(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    splits = docs._jdf.queryExecution().toRdd().getNumPartitions()
+    return docs.repartition(cores) if splits < cores else docs
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse(read(spark, sf_dir, "documents").select("doc_id", "text"), LATIN)
+    return parse.parse(texts(spark, sf_dir), LATIN)
 
 
 def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line feed doubled: the tables have no blank lines, so else a document is one paragraph."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = texts(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return parse.parse(docs, LATIN)
 
 
@@ -173,7 +181,7 @@ def reading_load(spark, sf_dir):
 
 
 def findings_union(spark, sf_dir):
-    return findings.ordered(lint.lint(parsed(spark, sf_dir).persist(), LATIN)).select("doc_id", "line", "category", "severity", "excerpt")
+    return findings.ordered(lint.lint(parsed(spark, sf_dir), LATIN)).select("doc_id", "line", "category", "severity", "excerpt")
 
 
 def genre_filter(spark, sf_dir):
