@@ -250,7 +250,8 @@ def removal_spans(docs: DataFrame, w: Windows, doc_id: str = "doc_id", text: str
     settled = settled.where("most > least" if w.keep_first else "occ > 1")
     settled = settled.select("key", "content", F.lit(0).alias("s"), F.col("n").alias("e"), "least")
     decided = settled.unionByName(small).unionByName(large)
-    decided = decided.groupBy("key", "content").agg(F.collect_list(F.struct("s", "e", "least")).alias("parts"))
+    # written, so that both sides of the join are plain exchanges, which AQE can split where a content is hot
+    decided = materialize(decided.groupBy("key", "content").agg(F.collect_list(F.struct("s", "e", "least")).alias("parts")), "decided")
     hits = runs.join(decided, ["key", "content"]).select("id", "h", "start", F.explode("parts").alias("p"))
     if w.keep_first:
         hits = hits.where(F.col("id") > F.col("p.least"))
