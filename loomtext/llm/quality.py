@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,23 +16,29 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes -1 (bad) where ``bad`` holds, else +1 (good) where ``good`` holds, else abstains (0)."""
+    """Votes -1 (bad) where ``bad`` holds, else +1 (good) where ``good`` holds, else abstains (0).
+
+    Without ``good`` it is an alarm: that one fault is missing says little about a text.
+    """
 
     name: str
     bad: str
-    good: str
+    good: str = "false"
 
 
 #: SQL over the measures of :func:`measure`.
 RULES = (
     Rule("length", "n_words < 20", "n_words >= 40"),
-    Rule("repeated_words", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    Rule("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
-    Rule("symbols", "10 * n_symbols > 2 * n_words", "100 * n_symbols <= 5 * n_words"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
+    Rule("repeated_words", "100 * n_repeat_words > 30 * n_words"),
+    Rule("repeated_lines", "n_lines >= 10 and 100 * n_dup_lines > 30 * n_lines"),
+    Rule("symbols", "10 * n_symbols > 2 * n_words"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     Rule("stops", "n_words >= 60 and 200 * n_stops < n_words", "n_stops >= 1 and 60 * n_stops >= n_words"),
     Rule("variety", "n_words >= 50 and 10 * n_types < 3 * n_words and n_types < 60", "10 * n_types >= 4 * n_words or n_types >= 100"),
 )
+#: Alarms are taken to go off on at most this share of good documents, and on at least that of bad ones.
+#: A fault that only one rule sees would else be learned as a habit of good documents.
+FALSE_ALARMS, ALARMS = 0.01, 0.1
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -106,25 +113,33 @@ def with_votes(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 
 def posterior(votes: str, params: dict) -> Column:
-    """P(good | votes) under independent rules, each right on good and bad documents at its own rate."""
+    """P(good | votes) under independent rules; a rule that abstains says nothing.
+
+    Each votes on good and on bad documents at rates of its own, and is then right at rates of its
+    own. A bad vote never speaks for a document, nor a good one against it.
+    """
     odds = F.log(F.lit(params["prior"] / (1 - params["prior"])))
-    for i, (a, b) in enumerate(zip(params["good"], params["bad"], strict=True)):
+    for i, (a, b, c, d) in enumerate(zip(params["good"], params["bad"], params["votes_good"], params["votes_bad"], strict=True)):
         v = F.element_at(votes, i + 1)
-        # a: P(+1 | good, votes); b: P(-1 | bad, votes)
-        odds += F.when(v == 1, F.log(F.lit(a / (1 - b)))).when(v == -1, F.log(F.lit((1 - a) / b))).otherwise(F.lit(0.0))
+        up, down = log(c * a / (d * (1 - b))), log(c * (1 - a) / (d * b))
+        if i in params["alarms"]:
+            down = log(min(FALSE_ALARMS, c * (1 - a)) / max(ALARMS, d * b))
+        odds += F.when(v == 1, F.lit(max(0.0, up))).when(v == -1, F.lit(min(0.0, down))).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-odds))
 
 
-def fit(voted: DataFrame, n_rules: int, rounds: int = 12, strength: float = 200.0) -> dict:
+def fit(voted: DataFrame, n_rules: int, rounds: int = 12, strength: float = 200.0, alarms: frozenset[int] = frozenset()) -> dict:
     """Expectation-maximisation over the counts of vote patterns (3 ** n_rules rows at most).
 
-    Rates start at 0.85 and are held between 0.55 and 0.99; ``strength`` pseudo-counts at the start
-    value keep a rule that hardly votes, and a tiny corpus, near the start. All rows count.
+    ``good``, ``bad``: how often a rule that votes is right on good and on bad documents;
+    ``votes_good``, ``votes_bad``: how often it votes at all. A bad document breaks few rules and
+    passes the others, so rules start at 0.85 on good ones but at 0.5 on bad ones. ``strength``
+    pseudo-counts at the start hold a rule that hardly votes, and a tiny corpus, near it. All rows count.
     """
-    start, prior0 = 0.85, 0.8
-    params = {"prior": prior0, "good": [start] * n_rules, "bad": [start] * n_rules}
+    prior0, good0, bad0, cover0 = 0.8, 0.85, 0.5, 0.9
+    params = {"prior": prior0, "good": [good0] * n_rules, "bad": [bad0] * n_rules, "votes_good": [cover0] * n_rules, "votes_bad": [cover0] * n_rules, "alarms": alarms}
     patterns = materialize(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
-    clamp = lambda x: min(0.99, max(0.55, x))
+    held = lambda x, least: min(0.995, max(least, x))
     for _ in range(rounds):
         p = patterns.withColumn("p", posterior("votes", params))
         sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
@@ -135,12 +150,16 @@ def fit(voted: DataFrame, n_rules: int, rounds: int = 12, strength: float = 200.
         s = p.agg(*sums).first()
         if not s["all"]:
             break
-        good = lambda i: (s[f"gg{i}"] + strength * start) / (s[f"gg{i}"] + s[f"gb{i}"] + strength)  # noqa: B023, E731
-        bad = lambda i: (s[f"bb{i}"] + strength * start) / (s[f"bb{i}"] + s[f"bg{i}"] + strength)  # noqa: B023, E731
+        bad = s["all"] - s["good"]
+        rules = range(n_rules)
+        g, b = [s[f"gg{i}"] + s[f"gb{i}"] for i in rules], [s[f"bg{i}"] + s[f"bb{i}"] for i in rules]
         params = {
             "prior": min(0.98, max(0.5, (s["good"] + strength * prior0) / (s["all"] + strength))),
-            "good": [clamp(good(i)) for i in range(n_rules)],
-            "bad": [clamp(bad(i)) for i in range(n_rules)],
+            "good": [held((s[f"gg{i}"] + strength * good0) / (g[i] + strength), 0.02 if i in alarms else 0.55) for i in rules],
+            "bad": [held((s[f"bb{i}"] + strength * (1 - prior0) * bad0) / (b[i] + strength * (1 - prior0)), 0.02) for i in rules],
+            "votes_good": [held((g[i] + strength * cover0) / (s["good"] + strength), 0.001) for i in rules],
+            "votes_bad": [held((b[i] + strength * (1 - prior0) * cover0) / (bad + strength * (1 - prior0)), 0.02) for i in rules],
+            "alarms": alarms,
         }
     return params
 
@@ -152,7 +171,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
     text fails. No rows: no rows. Repeated rows are judged alike.
     """
     voted = materialize(with_votes(measure(docs, text, keep), rules), "quality")
-    params = fit(voted, len(rules))
+    params = fit(voted, len(rules), alarms=frozenset(i for i, r in enumerate(rules) if r.good == Rule.good))
     return (
         voted.withColumn("base_failed", base_failed())
         .withColumn("quality", posterior("votes", params))
