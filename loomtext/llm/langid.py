@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ BITS = 15
 MAX_LANGUAGES = 1000
 #: Bytes of text that are turned into arrays at a time.
 CHUNK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 _codes = np.zeros(256, np.uint32)  # what is not a letter: 0
 _codes[[*range(65, 91), *range(97, 123)]] = [*range(1, 27), *range(1, 27)]
@@ -177,8 +177,6 @@ def language(text: Column, model: Model) -> Column:
     return F.arrow_udf(identify_batches, "struct<lang string, score double, languages map<string, double>>")(text)
 
 
-
-
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with the struct column ``out``; see :func:`language`."""
     return docs.withColumn(out, language(F.col(text), model))

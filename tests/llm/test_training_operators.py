@@ -429,7 +429,7 @@ def test_language_held_out_accuracy(spark, docs):
     got = langid.identify(table.where("doc_id % 5 = 0"), model).collect()
     assert sum(r.language.lang == r.lang for r in got) >= 0.95 * len(got)
     assert all(0 <= r.language.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "日本"), (5, "the thing with " * 20 + "der und nicht schön " * 20)], "doc_id bigint, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !? ½²"), (4, "日本"), (5, "the thing with " * 20 + "der und nicht schön " * 20)], "doc_id bigint, text string")
     found = {r.doc_id: r.language for r in langid.identify(odd, model).collect()}
     assert [found[i].lang for i in (1, 2, 3)] == ["und"] * 3 and found[4].lang in "xyz" and set(found[5].languages) == {"x", "y"}
     assert langid.fit(table.limit(0)).languages == ()
