@@ -106,11 +106,9 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, doc_id: str = "doc_
     groups = materialize(groups, "groups")
     totals = base.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     quotas = [totals // shards + (s < totals % shards) for s in range(shards)]
-    # a start under quotas: each group is dealt whole to a hashed shard; what is too large is spread evenly
-    most = max(1, totals // shards // 4)
+    # a start under quotas: each group is spread evenly, its remainder from a hashed shard on
     home = F.pmod(F.xxhash64("g1", "g2"), F.lit(shards)).cast("int")
-    spread = F.sequence(F.lit(0), F.lit(shards - 1))
-    dealt = groups.withColumn("shard", F.explode(F.when(F.col("__n") <= 1, F.array(home)).otherwise(spread))).select(
+    dealt = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
         "g1", "g2", "shard",
         (F.floor(F.col("__n") / shards) + F.when(F.pmod(F.col("shard") - home, F.lit(shards)) < F.col("__n") % shards, 1).otherwise(0)).cast("long").alias("n"),
     ).where("n > 0")
