@@ -14,7 +14,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     Alternates large-star (each node sends its larger neighbours to its smallest) and small-star
     (the smaller ones to the smallest) until the links no longer change: O(log n) rounds, and a node
     with very many neighbours is only ever aggregated, with map-side combining, never collected.
-    Each round is written to the shared folder.
+    Each round is written to the shared folder. What has not settled after ``rounds`` is an error, never a
+    wrong class.
     """
     edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = None
@@ -30,6 +31,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
