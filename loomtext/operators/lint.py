@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import WS, blank, cut, find_all, fixed, int_list, mean, percent, pstdev, strip
 from loomtext.operators.findings import capped, emit, finding, one_if, related_text, union
 from loomtext.operators.parse import HEADING, LIST_ITEM, keep, piece_count
-from loomtext.operators.tokens import part_of_speech, with_tokens
+from loomtext.operators.tokens import mora, part_of_speech, with_tokens
 from loomtext.plans.profiles import LATIN, Profile
 
 
@@ -215,9 +215,11 @@ def structural(parsed: DataFrame, profile: Profile = LATIN, text: str = "text")
 
 def rhythm(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
     """``doc_id``, n, mean, stdev, burstiness, autocorr, first_line: lengths of sentences in tokens' code
-    points. Null under the least number of sentences; autocorr null if a side does not vary."""
+    points, small kana within a token aside. Null under the least number of sentences; autocorr null if a
+    side does not vary."""
     p = profile.params
-    df = keep(tokenized, "__x", F.transform("tokens", lambda t: F.aggregate(t, F.lit(0), lambda a, w: a + F.length(w))))
+    length = mora if profile.name == "ja" else F.length
+    df = keep(tokenized, "__x", F.transform("tokens", lambda t: F.aggregate(t, F.lit(0), lambda a, w: a + length(w))))
     df = df.where(F.size("__x") >= p.burst_sentences)
     n, m, sd = F.size("__x"), mean(F.col("__x")), pstdev(F.col("__x"))
     df = keep(df, "__a", F.slice("__x", F.lit(1), n - 1))
@@ -237,31 +239,44 @@ def rhythm(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
 def burstiness(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
     p = profile.params
     r = rhythm(tokenized, profile)
+    excerpt = F.concat(F.lit("burstiness="), fixed(F.col("burstiness"), 3), F.lit(" (モーラ近似長 平均="), fixed(F.col("mean"), 1), F.lit(", 標準偏差="), fixed(F.col("stdev"), 1), F.lit(")"))
     low = emit(r, "low_burstiness", 10, one_if(F.col("burstiness") < p.burst, finding(
-        F.col("first_line"), F.concat(F.lit("B="), fixed(F.col("burstiness"), 3)), F.lit(f"burstiness < {p.burst}"), "warn")))
+        F.col("first_line"), excerpt, F.lit(f"burstiness が閾値({p.burst})未満。文の長短のメリハリが乏しく機械的なリズムの疑い"), "warn")))
     high = emit(r, "high_length_autocorrelation", 10, one_if(F.col("autocorr") > p.autocorr, finding(
-        F.col("first_line"), F.concat(F.lit("r="), fixed(F.col("autocorr"), 3)), F.lit(f"autocorrelation > {p.autocorr}"), "info", seq=F.lit(1))))
+        F.col("first_line"), F.concat(F.lit("lag-1 自己相関="), fixed(F.col("autocorr"), 3)),
+        F.lit(f"隣接する文の長さが強く相関（閾値{p.autocorr}超）。文長パターンが単調に繰り返されている疑い"), "info", seq=F.lit(1))))
     return low.unionByName(high)
 
 
 def leads(tokenized: DataFrame, profile: Profile = LATIN) -> Column:
-    """(line, lead, raw) of each sentence with two tokens after leading symbols."""
-    inner = lambda t: F.filter(t, lambda w: part_of_speech(w, profile) != "補助記号")
-    rows = F.zip_with("sentences", "tokens", lambda s, t: F.struct(s["line"].alias("line"), s["raw"].alias("raw"), F.slice(inner(t), 1, 2).alias("w")))
-    return F.transform(F.filter(rows, lambda r: F.size(r["w"]) == 2), lambda r: F.struct(r["line"].alias("line"), r["raw"].alias("raw"), F.concat(F.get(r["w"], F.lit(0)), F.get(r["w"], F.lit(1))).alias("lead")))
+    """(line, raw, lead, tech) of each sentence with two tokens from the first that is no symbol."""
+    first = lambda t: F.array_position(F.transform(t, lambda w: part_of_speech(w, profile) == "補助記号"), F.lit(False))
+    rows = F.zip_with("sentences", "tokens", lambda s, t: F.struct(
+        s["line"].alias("line"), s["raw"].alias("raw"), F.slice(t, F.greatest(first(t), F.lit(1)).cast("int"), 2).alias("w"), (first(t) > 0).alias("any"),
+    ))
+    return F.transform(F.filter(rows, lambda r: r["any"] & (F.size(r["w"]) == 2)), lambda r: F.struct(
+        r["line"].alias("line"), r["raw"].alias("raw"), F.concat(F.get(r["w"], F.lit(0)), F.get(r["w"], F.lit(1))).alias("lead"),
+        F.get(r["w"], F.lit(0)).rlike(r"^[A-Za-z][A-Za-z0-9\-_.]*\z").alias("tech"),
+    ))
 
 
 def repeated_leads(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    """Sentences of a document that begin with the same two tokens, where enough do."""
+    """Sentences of a document that begin with the same two tokens, where enough do: leads in the order
+    in which they are first seen, then sentences. Sorted by lead, so that equal ones are neighbours."""
     p = profile.params
-    df = keep(tokenized, "__w", leads(tokenized, profile))
-    df = keep(df, "__s", F.array_sort(F.transform("__w", lambda x: x["lead"])))
-    # sorted, a lead that occurs k times has an equal k - 1 places on
-    n = F.size("__s")
-    often = F.filter("__s", lambda x, i: (i + p.repeated_lead <= n) & (F.get("__s", i + p.repeated_lead - 1) == x))
-    df = keep(df, "__o", F.array_distinct(often))
-    found = F.filter("__w", lambda x: F.array_contains("__o", x["lead"]))
-    return emit(df, "repeated_sentence_lead", 11, F.transform(found, lambda x, i: finding(x["line"], F.substr(x["raw"], F.lit(1), F.lit(20)), F.concat(F.lit("文頭「"), x["lead"], F.lit("」")), "info", seq=i)))
+    rows = F.transform(leads(tokenized, profile), lambda x, i: F.struct(x["lead"].alias("lead"), i.alias("i"), x["line"].alias("line"), x["raw"].alias("raw"), x["tech"].alias("tech")))
+    df = keep(tokenized, "__w", F.array_sort(rows))
+    edges = F.transform("__w", lambda x, k: F.when((k == 0) | (F.get("__w", k - 1)["lead"] != x["lead"]), k))
+    df = keep(df, "__s", F.filter(edges, lambda k: k.isNotNull()))
+    groups = F.transform("__s", lambda k, j: F.struct(F.get("__w", k)["i"].alias("first"), F.slice("__w", k + 1, F.coalesce(F.get("__s", j + 1), F.size("__w")) - k).alias("all")))
+    df = keep(df, "__g", F.array_sort(F.filter(groups, lambda g: F.size(g["all"]) >= p.repeated_lead)))
+    lines = lambda g: F.transform(g["all"], lambda x: x["line"])
+    df = keep(df, "__h", F.transform("__g", lambda g: F.struct(g["all"].alias("all"), F.size(g["all"]).cast("string").alias("n"), related_text(lines(g)).alias("text"), capped(lines(g)).alias("related"))))
+    why = lambda tech: F.when(tech, "固有名詞/技術用語由来の可能性が高い。").otherwise("人間の意図的な反復技法との区別がつかないため参考情報として提示。")
+    detail = lambda g, x: F.concat(F.lit("文頭2形態素「"), x["lead"], F.lit("」が"), g["n"], F.lit(f"回反復（閾値{p.repeated_lead}回以上）。"), why(x["tech"]), g["text"])
+    rows = F.transform("__h", lambda g: F.transform(g["all"], lambda x: F.struct(x["line"].alias("line"), x["raw"].alias("raw"), detail(g, x).alias("detail"), g["related"].alias("related"))))
+    df = keep(df, "__r", F.flatten(rows))
+    return emit(df, "repeated_sentence_lead", 11, F.transform("__r", lambda x, k: finding(x["line"], F.substr(x["raw"], F.lit(1), F.lit(20)), x["detail"], "info", x["related"], k)))
 
 
 def lexical_diversity(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
@@ -272,7 +287,7 @@ def lexical_diversity(tokenized: DataFrame, profile: Profile = LATIN) -> DataFra
     chars = F.aggregate("sentences", F.lit(0), lambda a, s: a + F.length(s["raw"]))
     types, n = F.size(F.array_distinct("__t")), F.size("__t")
     ok = (chars >= p.diversity_chars) & (n >= p.diversity_tokens)
-    return df.select("doc_id", chars.alias("chars"), n.alias("tokens"), types.alias("types"), F.when(ok, types / F.nullif(n, F.lit(0))).alias("ttr"), mtld(F.when(ok, F.col("__t"))).alias("mtld"))
+    return df.select("doc_id", chars.alias("chars"), n.alias("tokens"), types.alias("types"), F.when(ok, types / F.nullif(n, F.lit(0))).alias("ttr"), mtld(F.when(ok, F.col("__t"))).alias("mtld"), F.get("sentences", F.lit(0))["line"].alias("first_line"))
 
 
 def mtld_of(tokens: list[str], factor: float = 0.72) -> float | None:
@@ -285,7 +300,7 @@ def mtld_of(tokens: list[str], factor: float = 0.72) -> float | None:
         for w in words:
             types.add(w)
             n += 1
-            if len(types) / n < factor:
+            if len(types) / n <= factor:
                 factors, types, n = factors + 1, set(), 0
         if n:
             factors += (1 - len(types) / n) / (1 - factor)
@@ -306,15 +321,17 @@ def mtld(tokens: Column) -> Column:
 def diversity(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
     p = profile.params
     d = lexical_diversity(tokenized, profile)
-    row = lambda name, value: finding(F.lit(1), F.concat(F.lit(f"{name}="), fixed(F.col(value), 3)), F.lit(f"{name} low"), "info")
-    ttr = emit(d, "low_lexical_diversity_ttr", 12, one_if(F.col("ttr") < p.ttr, row("TTR", "ttr")))
-    return ttr.unionByName(emit(d, "low_lexical_diversity_mtld", 12, one_if(F.col("mtld") < p.mtld, row("MTLD", "mtld"))))
+    ttr = F.concat(F.lit("TTR="), fixed(F.col("ttr"), 3), F.lit(" (内容語 "), F.col("tokens").cast("string"), F.lit(" 語中 "), F.col("types").cast("string"), F.lit(" 種類)"))
+    low = emit(d, "low_lexical_diversity_ttr", 12, one_if(F.col("ttr") < p.ttr, finding(F.col("first_line"), ttr, F.lit(f"TTR(Type-Token Ratio)が閾値{p.ttr}未満。同じ語彙の使い回しが多い疑い"), "info")))
+    detail = F.lit(f"MTLD が閾値{p.mtld:g}未満。文章長で正規化した語彙多様性が低い疑い")
+    return low.unionByName(emit(d, "low_lexical_diversity_mtld", 12, one_if(F.col("mtld") < p.mtld, finding(F.col("first_line"), F.concat(F.lit("MTLD="), fixed(F.col("mtld"), 1)), detail, "info", seq=F.lit(1)))))
 
 
 def specificity(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     """Scores of paragraphs that are long enough: proper names and quantities less abstract nouns."""
     p = profile.params
-    rows = parsed.select("doc_id", F.explode("paragraphs").alias("x")).select("doc_id", F.col("x.first").alias("line"), F.col("x.text").alias("text"))
+    each = F.transform("paragraphs", lambda x: F.struct(x["first"].alias("line"), x["text"].alias("text"), F.get("lines", x["first"] - 1)["raw"].alias("head")))
+    rows = parsed.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.line", "x.text", "x.head")
     rows = keep(rows, "__w", F.filter(F.regexp_extract_all("text", F.lit(profile.token), F.lit(0)), lambda w: w.rlike(profile.content)))
     rows = rows.where((F.length("text") >= p.specificity_chars) & (F.size("__w") >= p.specificity_words))
     n = F.size("__w")
@@ -323,12 +340,18 @@ def specificity(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     number = F.regexp_count("text", F.lit(profile.quantity))
     example = F.col("text").rlike("|".join(profile.examples)).cast("int")
     score = proper / n * p.specificity_proper + number / n * p.specificity_numeric + example * p.specificity_example - abstract / n * p.specificity_abstract
-    return rows.select("doc_id", "line", n.alias("words"), proper.alias("proper"), number.alias("numeric"), example.alias("example"), abstract.alias("abstract"), score.alias("score"))
+    return rows.select("doc_id", "line", n.alias("words"), proper.alias("proper"), number.alias("numeric"), example.alias("example"), abstract.alias("abstract"), score.alias("score"), "head")
 
 
 def low_specificity(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    s = specificity(parsed, profile)
-    return emit(s, "low_specificity", 13, one_if(F.col("score") < profile.params.specificity_score, finding(F.col("line"), F.concat(F.lit("score="), fixed(F.col("score"), 3)), F.lit("具体性スコアが閾値未満"), "info")))
+    s, least = specificity(parsed, profile), profile.params.specificity_score
+    share = lambda c: fixed(F.col(c) / F.col("words"), 3)
+    detail = F.concat(
+        F.lit("段落の具体性スコア="), fixed(F.col("score"), 3), F.lit(f"（閾値{least}未満）。固有名詞密度="), share("proper"), F.lit(", 数値密度="), share("numeric"), F.lit(", 抽象名詞率="), share("abstract"),
+        F.lit(", 例示マーカー="), F.when(F.col("example") == 1, "あり").otherwise("なし"),
+        F.lit("。固有名詞・数値・実例が乏しく一般論に留まっている疑い。素材不足のサインであり、文体の修正でなく情報収集を検討する"),
+    )
+    return emit(s, "low_specificity", 13, one_if(F.col("score") < least, finding(F.col("line"), F.substr(strip(F.col("head")), F.lit(1), F.lit(40)), detail, "info")))
 
 
 def lint(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
@@ -341,8 +364,6 @@ def lint(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     ])
 
 
-
-
 def replace_params(profile: Profile, **values) -> Profile:
     return replace(profile, params=replace(profile.params, **values))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loomtext.functions.text import WS
 from loomtext.operators.parse import LIST_ITEM, STRUCTURE
-from loomtext.plans.profiles import CATEGORIES, LATIN
+from loomtext.plans.profiles import CATEGORIES, LATIN, SEMANTIC_JUMP_MIN, SEMANTIC_RANGE, SEMANTIC_REPETITION_MAX
 
 
 def _q(s: str) -> str:
@@ -46,6 +46,10 @@ FORBIDDEN = f"""hits as (
 )"""
 
 
+def _related(ls: str) -> str:
+    return f"'対応箇所: ' || array_to_string(list_transform({ls}[1:20], lambda x: 'L' || x), ', ') || case when len({ls}) > 20 then ' ほか' || (len({ls}) - 20) || '箇所' else '' end"
+
+
 def _count(patterns) -> str:
     return " + ".join(f"len(regexp_extract_all(masked, {_q(p)}))" for p in patterns)
 
@@ -56,9 +60,20 @@ def _per_line(category: str, patterns) -> str:
 
 TOKEN, CONTENT, P = LATIN.token, LATIN.content, LATIN.params
 WORD = "^[A-Za-zÀ-ɏ0-9]"
+# tokens of each sentence from the first that is no symbol
+FROM_WORD = f"""{SENT}, toks as (select doc_id, sent_no, line, regexp_extract_all(text, {_q(TOKEN)}) as t from sent),
+words as (select doc_id, sent_no, line, t[k:len(t)] as t from (select *, list_position(list_transform(t, lambda x: regexp_matches(x, {_q(WORD)})), true) as k from toks) where k > 0)"""
 STATS = f"select doc_id, count(*) as n, sum(x)::bigint as s1, sum(x * x)::bigint as s2 from xs group by doc_id"
 CV = f"""{SENT}, xs as (select doc_id, length(text)::bigint as x from sent), st as ({STATS}),
 cvs as (select doc_id, n, (sqrt((n * s2 - s1 * s1)::double) / n) / (s1::double / n) as cv, s1 from st where n >= 5)"""
+RHYTHM = f"""{SENT}, xs as (select doc_id, sent_no, length(regexp_replace(text, '[ \\t\\n\\r]', '', 'g'))::bigint as x from sent), st as ({STATS}),
+ab as (select doc_id, x as a, lead(x) over (partition by doc_id order by sent_no) as b from xs),
+pr as (select doc_id, count(*) as k, sum(a * b)::bigint as c, sum(a)::bigint as a1, sum(b)::bigint as b1, sum(a * a)::bigint as a2, sum(b * b)::bigint as b2 from ab where b is not null group by doc_id),
+v as (select *, s1::double / n as mean, sqrt((n * s2 - s1 * s1)::double) / n as stdev, sqrt((k * a2 - a1 * a1)::double) / k as sa, sqrt((k * b2 - b1 * b1)::double) / k as sb from st join pr using (doc_id) where n >= {P.burst_sentences}),
+rhythm as (
+select doc_id, n, mean, stdev, case when stdev + mean = 0 then 0.0 else (stdev - mean) / (stdev + mean) end as burstiness,
+  case when k >= {P.autocorr_pairs} and sa > 0 and sb > 0 then ((k * c - a1 * b1)::double / (k * k)::double) / (sa * sb) end as autocorr from v
+)"""
 LEADS = f"""{PARA}, tested as (
   select *, {_strip('lead')} as t, count(*) over (partition by doc_id) as n from para
 ), led as (
@@ -70,6 +85,18 @@ curve as (select value, count(*) filter (side = 'human' and cv < value) as human
   count(*) filter (side = 'ai' and cv < value) as ai_detect_count, count(*) filter (side = 'ai' and cv < value) / count(*) filter (side = 'ai') as ai_detect_rate
   from sides left join cvs using (doc_id), grid group by value)"""
 
+PAIRS = """v as (select label as doc_id, row_number() over (partition by label order by vec_id) as i, embedding::double[] as e from embeddings),
+u as (select doc_id, i, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from v), n as (select doc_id, count(*) as n from u group by doc_id),
+p as (select a.doc_id, a.i, b.i as j, list_dot_product(a.u, b.u) as s from u a join u b on a.doc_id = b.doc_id and b.i > a.i)"""
+LINES_OF_SENT = f"with {SENT} select doc_id, line from sent"
+DIVERSITY = f"""with {SENT}, w as (select doc_id, sum(length(text))::bigint as chars, flatten(list(list_transform(list_filter(regexp_extract_all(text, {_q(TOKEN)}), lambda x: regexp_matches(x, {_q(CONTENT)})), lambda x: lower(x)))) as t from sent group by doc_id),
+e as (select doc_id, 0::bigint as chars, []::varchar[] as t from documents where text is not null and doc_id not in (select doc_id from sent)), a as (select * from w union all select * from e)
+select doc_id, chars, len(t)::bigint as tokens, len(list_distinct(t))::bigint as types, case when chars >= {P.diversity_chars} and len(t) >= {P.diversity_tokens} then len(list_distinct(t)) / len(t) end as ttr from a"""
+SPECIFICITY = f"""with {PARA}, w as (select doc_id, first_line as line, text, raw, list_filter(regexp_extract_all(text, {_q(TOKEN)}), lambda x: regexp_matches(x, {_q(CONTENT)})) as t from para),
+c as (select doc_id, line, len(t)::int as words, len(list_filter(t, lambda x: regexp_matches(x, '^[A-Z][A-Za-z0-9]+$')))::int as proper, len(regexp_extract_all(text, {_q(LATIN.quantity)}))::int as "numeric",
+  regexp_matches(text, {_q('|'.join(LATIN.examples))})::int as example, len(list_filter(t, lambda x: list_contains({_list(LATIN.abstract)}, x)))::int as abstract, length(text) as k, raw from w)
+select doc_id, line, words, proper, "numeric", example, abstract, proper / words * 1.0::double + "numeric" / words * 1.0::double + example * 0.1::double - abstract / words * 1.5::double as score, raw from c where k >= {P.specificity_chars} and words >= {P.specificity_words}"""
+
 SQL = {
     "lines": f"with {LINES} select doc_id, line, masked, raw from lines",
     "sentences": f"with {SENT} select doc_id, sent_no, line, text from sent",
@@ -100,23 +127,27 @@ select doc_id, length(text)::int as chars, len(regexp_extract_all(text, '\\*\\*[
   len(regexp_extract_all(text, {_q(LATIN.phase)}))::int as phases, len(regexp_extract_all(text, {_q(LATIN.emoji)}))::int as symbols, len(regexp_extract_all(text, {_q(LATIN.emoji)})) / k * 1000 as symbols_per_1000 from b""",
     "bold_density": r"""with b as (select doc_id, text, len(regexp_extract_all(text, '\*\*[^*\n]+\*\*')) as n, greatest(length(text), 1) as k, string_split_regex(text, '\*\*[^*\n]+\*\*')[1] as before from documents)
 select doc_id, (length(before) - length(replace(before, chr(10), '')) + 1)::int as line, '太字スパン' || n || '箇所（1000字あたり' || printf('%.2f', n / k * 1000) || '）' as excerpt from b where n >= 3 and n / k * 1000 >= 3.0""",
-    "burstiness": f"""with {SENT}, xs as (select doc_id, sent_no, length(regexp_replace(text, '[ \\t\\n\\r]', '', 'g'))::bigint as x from sent), st as ({STATS}),
-ab as (select doc_id, x as a, lead(x) over (partition by doc_id order by sent_no) as b from xs),
-pr as (select doc_id, count(*) as k, sum(a * b)::bigint as c, sum(a)::bigint as a1, sum(b)::bigint as b1, sum(a * a)::bigint as a2, sum(b * b)::bigint as b2 from ab where b is not null group by doc_id),
-v as (select *, s1::double / n as mean, sqrt((n * s2 - s1 * s1)::double) / n as stdev, sqrt((k * a2 - a1 * a1)::double) / k as sa, sqrt((k * b2 - b1 * b1)::double) / k as sb from st join pr using (doc_id) where n >= {P.burst_sentences})
-select doc_id, n, mean, stdev, case when stdev + mean = 0 then 0.0 else (stdev - mean) / (stdev + mean) end as burstiness,
-  case when k >= {P.autocorr_pairs} and sa > 0 and sb > 0 then ((k * c - a1 * b1)::double / (k * k)::double) / (sa * sb) end as autocorr from v""",
-    "repeated_lead": f"""with {SENT}, w as (select doc_id, line, list_filter(regexp_extract_all(text, {_q(TOKEN)}), lambda x: regexp_matches(x, {_q(WORD)})) as t from sent)
-select doc_id, '文頭「' || t[1] || t[2] || '」' as detail, count(*) as n, min(line) as first_line from w where len(t) >= 2 group by doc_id, t[1] || t[2] having count(*) >= {P.repeated_lead}""".replace("'文頭「' || t[1] || t[2] || '」' as detail", "'文頭「' || (t[1] || t[2]) || '」' as detail"),
-    "lexical_diversity": f"""with {SENT}, w as (select doc_id, sum(length(text))::bigint as chars, flatten(list(list_transform(list_filter(regexp_extract_all(text, {_q(TOKEN)}), lambda x: regexp_matches(x, {_q(CONTENT)})), lambda x: lower(x)))) as t from sent group by doc_id),
-e as (select doc_id, 0::bigint as chars, []::varchar[] as t from documents where text is not null and doc_id not in (select doc_id from sent)), a as (select * from w union all select * from e)
-select doc_id, chars, len(t)::bigint as tokens, len(list_distinct(t))::bigint as types, case when chars >= {P.diversity_chars} and len(t) >= {P.diversity_tokens} then len(list_distinct(t)) / len(t) end as ttr from a""",
+    "burstiness": f"with {RHYTHM} select * from rhythm",
+    "rhythm_findings": f"""with {RHYTHM}, f as (select r.*, (select min(line) from sent where sent.doc_id = r.doc_id) as line from rhythm r)
+select doc_id, line, 'low_burstiness' as category, 'burstiness=' || printf('%.3f', burstiness) || ' (モーラ近似長 平均=' || printf('%.1f', mean) || ', 標準偏差=' || printf('%.1f', stdev) || ')' as excerpt, 'warn' as severity from f where burstiness < -0.4
+union all select doc_id, line, 'high_length_autocorrelation', 'lag-1 自己相関=' || printf('%.3f', autocorr), 'info' from f where autocorr > 0.2""",
+    "repeated_lead": f"""with {FROM_WORD}, l as (select doc_id, line, t[1] || t[2] as lead, regexp_matches(t[1], '^[A-Za-z][A-Za-z0-9_.-]*$') as tech from words where len(t) >= 2),
+g as (select doc_id, lead, count(*) as n, list_sort(list_distinct(list(line))) as ls from l group by doc_id, lead having count(*) >= {P.repeated_lead})
+select doc_id, '文頭2形態素「' || lead || '」が' || g.n || '回反復（閾値{P.repeated_lead}回以上）。' || case when tech then '固有名詞/技術用語由来の可能性が高い。' else '人間の意図的な反復技法との区別がつかないため参考情報として提示。' end || {_related('ls')} as detail,
+  count(*) as n, min(line) as first_line from l join g using (doc_id, lead) group by doc_id, 2""",
+    "syntax_template": f"""with {FROM_WORD}, p as (
+  select doc_id, sent_no, line, array_to_string(list_transform(t[1:4], lambda x: case when regexp_matches(x, {_q(CONTENT)}) then '名詞' when regexp_matches(x, '^[0-9]') then '数詞' else '補助記号' end), '/') as g from words where len(t) >= 4),
+c as (select doc_id, g, count(*) as n, min(sent_no) as first, list_sort(list_distinct(list(line))) as ls from p group by doc_id, g),
+top as (select *, sum(n) over (partition by doc_id) as k, row_number() over (partition by doc_id order by n desc, first) as r from c)
+select doc_id, line, '文頭品詞4-gram「' || g || '」が全文の' || printf('%.1f%%', n / k * 100) || 'で一致（閾値40%以上）。構文テンプレートの使い回しの疑い。' || {_related('ls')} as detail
+from p join top using (doc_id, g) where r = 1 and k >= {P.template_grams} and n / k >= 0.4""",
+    "lexical_diversity": DIVERSITY,
+    "low_ttr": f"""select doc_id, (select min(line) from ({LINES_OF_SENT}) x where x.doc_id = d.doc_id) as line, 'TTR=' || printf('%.3f', ttr) || ' (内容語 ' || tokens || ' 語中 ' || types || ' 種類)' as excerpt from ({DIVERSITY}) d where ttr < {P.ttr}""",
     "nominal_ratio": f"""with {SENT}, w as (select doc_id, list_filter(regexp_extract_all(text, {_q(TOKEN)}), lambda x: regexp_matches(x, {_q(WORD)})) as t from sent)
 select d.doc_id, count(w.doc_id) as sentences, count(*) filter (w.doc_id is not null and len(t) > 0 and regexp_matches(t[-1], {_q(CONTENT)})) as nominal from documents d left join w using (doc_id) where d.text is not null group by d.doc_id""",
-    "specificity": f"""with {PARA}, w as (select doc_id, first_line as line, text, list_filter(regexp_extract_all(text, {_q(TOKEN)}), lambda x: regexp_matches(x, {_q(CONTENT)})) as t from para),
-c as (select doc_id, line, len(t)::int as words, len(list_filter(t, lambda x: regexp_matches(x, '^[A-Z][A-Za-z0-9]+$')))::int as proper, len(regexp_extract_all(text, {_q(LATIN.quantity)}))::int as "numeric",
-  regexp_matches(text, {_q('|'.join(LATIN.examples))})::int as example, len(list_filter(t, lambda x: list_contains({_list(LATIN.abstract)}, x)))::int as abstract, length(text) as k from w)
-select doc_id, line, words, proper, "numeric", example, abstract, proper / words * 1.0::double + "numeric" / words * 1.0::double + example * 0.1::double - abstract / words * 1.5::double as score from c where k >= {P.specificity_chars} and words >= {P.specificity_words}""",
+    "specificity": f"select * exclude (raw) from ({SPECIFICITY})",
+    "low_specificity": f"""select doc_id, line, substr({_strip('raw')}, 1, 40) as excerpt, '段落の具体性スコア=' || printf('%.3f', score) || '（閾値0.02未満）。固有名詞密度=' || printf('%.3f', proper / words) || ', 数値密度=' || printf('%.3f', "numeric" / words) || ', 抽象名詞率=' || printf('%.3f', abstract / words)
+  || ', 例示マーカー=' || case when example = 1 then 'あり' else 'なし' end || '。固有名詞・数値・実例が乏しく一般論に留まっている疑い。素材不足のサインであり、文体の修正でなく情報収集を検討する' as detail from ({SPECIFICITY}) where score < 0.02""",
     "sentence_too_long": f"""with {SENT} select doc_id, line, 'sentence_too_long' as category, count(*) as n from sent where length({_strip(f"regexp_replace(text, {_q(f'[{WS}]{{2,}}')}, ' ', 'g')")}) > {P.long_sentence} group by doc_id, line""",
     "long_run": f"""with {SENT}, t as (select doc_id, line, unnest(regexp_extract_all(text, {_q(TOKEN)})) as w from sent)
 select doc_id, line, 'long_run' as category, sum(len(regexp_extract_all(w, '[a-z]{{14,}}')))::bigint as n from t where not regexp_matches(w, '^[A-Z][A-Za-z0-9]+$') and regexp_matches(w, '[a-z]{{14,}}') group by doc_id, line""",
@@ -130,11 +161,14 @@ st as (select doc_id, level, count(*) as n, sum(k)::bigint as s1, sum(k * k)::bi
 select doc_id, level, n as count, printf('%.2f', s1::double / n)::double as length_mean, printf('%.3f', case when s1 > 0 and n > 1 then sqrt((n * s2 - s1 * s1)::double) / n / (s1::double / n) else 0 end)::double as length_cv, printf('%.3f', st::double / n)::double as structural_ratio from st""",
     "terms": f"""with {LINES}, t as (select doc_id, line, unnest(regexp_extract_all(masked, '[A-Za-z0-9]+')) as term from lines), f as (select doc_id, term, min(line) as first_line from t where regexp_matches(term, '^[A-Z][A-Za-z0-9]+$') group by doc_id, term)
 select f.doc_id, term, first_line, ((length(text) - length(replace(text, term, ''))) // length(term))::bigint as count from f join documents using (doc_id)""",
-    "semantic_metrics": """with v as (select label as doc_id, row_number() over (partition by label order by vec_id) as i, embedding::double[] as e from embeddings),
-u as (select doc_id, i, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from v), n as (select doc_id, count(*) as n from u group by doc_id),
-p as (select a.doc_id, a.i, b.i as j, list_dot_product(a.u, b.u) as s from u a join u b on a.doc_id = b.doc_id and b.i > a.i)
+    "semantic_metrics": f"""with {PAIRS}
 select n.doc_id, n.n, printf('%.6f', max(s) filter (j = i + 1) - min(s) filter (j = i + 1))::double as adjacent_range, printf('%.6f', min(s) filter (j = i + 1))::double as adjacent_min, printf('%.6f', max(s) filter (j >= i + 2))::double as other_max
 from n join p using (doc_id) where n.n >= 3 group by n.doc_id, n.n""",
+    "semantic_findings": f"""with {PAIRS}, m as (select n.doc_id, n.n, max(s) filter (j = i + 1) - min(s) filter (j = i + 1) as spread, min(s) filter (j = i + 1) as low, max(s) filter (j >= i + 2) as far from n join p using (doc_id) where n.n >= 10 group by n.doc_id, n.n)
+select doc_id, 'semantic_flatness' as category, 'warn' as severity from m where spread <= {SEMANTIC_RANGE[None]}
+union all select doc_id, 'semantic_repetition_max', 'info' from m where far <= {SEMANTIC_REPETITION_MAX} union all select doc_id, 'semantic_jump_min', 'info' from m where low >= {SEMANTIC_JUMP_MIN}""",
+    "genre_filter": f"""with b as (select doc_id, text, len(regexp_extract_all(text, {_q(LATIN.emoji)})) as n, greatest(length(text), 1) as k, string_split_regex(text, {_q(LATIN.emoji)})[1] as before from documents)
+select doc_id, (length(before) - length(replace(before, chr(10), '')) + 1)::int as line, 'high_emoji_symbol_density' as category from b where n >= 3 and n / k * 1000 >= 2.0""",
     "fire_matrix": f"""with {LINES}, {SIDES}, f as (select doc_id, 'forbidden_phrase' as category, sum({' + '.join(f'(position({_q(p)} in masked) > 0)::int' for p in LATIN.forbidden)}) as hits from lines group by doc_id
   union all select doc_id, 'translationese', sum({_count(LATIN.translationese)}) from lines group by doc_id), c as (select unnest({_list(CATEGORIES)}) as category)
 select c.category, side as grp, count(*) as docs, count(*) filter (hits > 0) as fired, count(*) filter (hits > 0) / count(*) as fire_rate, (coalesce(sum(hits), 0) * 1000)::double / sum(chars)::double as per_1000

@@ -158,7 +158,22 @@ def nominal_ratio(spark, sf_dir):
 
 
 def specificity(spark, sf_dir):
-    return lint.specificity(spaced(spark, sf_dir), LATIN)
+    return lint.specificity(spaced(spark, sf_dir), LATIN).drop("head")
+
+
+def low_specificity(spark, sf_dir):
+    wide = lint.replace_params(LATIN, specificity_score=0.02)
+    return lint.low_specificity(spaced(spark, sf_dir), wide).select("doc_id", "line", "excerpt", "detail")
+
+
+def rhythm_findings(spark, sf_dir):
+    wide = lint.replace_params(LATIN, burst=-0.4, autocorr=0.2)
+    return lint.burstiness(tokens.with_tokens(parsed(spark, sf_dir), LATIN), wide).select("doc_id", "line", "category", "excerpt", "severity")
+
+
+def low_ttr(spark, sf_dir):
+    found = lint.diversity(tokens.with_tokens(parsed(spark, sf_dir), LATIN), LATIN)
+    return found.where("category = 'low_lexical_diversity_ttr'").select("doc_id", "line", "excerpt")
 
 
 def sentence_too_long(spark, sf_dir):
@@ -263,7 +278,7 @@ def naturalness_score(spark, sf_dir):
 _OWN = (
     lines, sentences, paragraphs, mask_comments, mask_structure, token_table, forbidden_phrase, findings_by_category, translationese, inanimate_subject,
     antithesis_repetition, cleft_pairs, paragraph_lead, related_lines, sentence_variance_stats, low_sentence_variance, uniform_paragraph, structure_stats,
-    bold_density, burstiness, repeated_lead, syntax_template, lexical_diversity, mtld, nominal_ratio, specificity, sentence_too_long, long_run, no_chain,
+    bold_density, burstiness, repeated_lead, syntax_template, lexical_diversity, mtld, nominal_ratio, specificity, low_specificity, rhythm_findings, low_ttr, sentence_too_long, long_run, no_chain,
     reading_load, findings_union, genre_filter, baseline_diff, outline, heading_stats, terms, semantic_metrics, semantic_findings, fire_matrix, length_bins,
     sweep_curve, sweep_recommend, naturalness_score,
 )

@@ -131,6 +131,40 @@ def test_mtld():
     assert 0 < lint.mtld_of(["a"] * 30) <= 2
 
 
+def test_mtld_counts_a_factor_at_the_threshold():
+    words = ["a", "b", "c", "a"]  # the fourth word brings 3 types to 4 tokens: 0.75
+    assert lint.mtld_of(words * 6, factor=0.75) == 24 / 6
+
+
+def test_repeated_leads_only_lose_leading_symbols(spark):
+    text = "\n".join(["「雨が降る。"] * 5 + ["雨、が降る。"] + ["API版を使う。"] * 6 + ["雨が上がる。"])
+    found = lint.repeated_leads(tokens.with_tokens(ja(spark, text), JA), JA).orderBy("seq").collect()
+    assert [r.line for r in found] == [1, 2, 3, 4, 5, 13, 7, 8, 9, 10, 11, 12]
+    assert found[0].detail == "文頭2形態素「雨が」が6回反復（閾値6回以上）。人間の意図的な反復技法との区別がつかないため参考情報として提示。対応箇所: L1, L2, L3, L4, L5, L13"
+    assert "固有名詞/技術用語由来の可能性が高い。対応箇所: L7" in found[6].detail and found[6].related_lines == [7, 8, 9, 10, 11, 12]
+
+
+def test_syntax_template_keeps_inner_symbols(spark):
+    comma, mark = ("、", "補助記号"), ("「", "補助記号")
+    df = morphemes(spark, *[[mark, "雨", comma, ("降る", V), "日"]] * 4, *[["雨", ("が", P), ("降る", V), "日"]] * 3)
+    found = morph.syntax_template(df).collect()
+    assert len(found) == 4 and found[0].detail.startswith("文頭品詞4-gram「名詞/補助記号/動詞/名詞」が全文の57.1%で一致（閾値40%以上）。")
+
+
+def test_rhythm_counts_mora(spark):
+    texts = "。".join(["ファイル"] * 6)
+    r = lint.rhythm(tokens.with_tokens(ja(spark, texts), JA), JA).first()
+    assert (r["mean"], r.burstiness) == (3.0, -1.0)
+    low = lint.burstiness(tokens.with_tokens(ja(spark, texts), JA), JA).first()
+    assert low.excerpt == "burstiness=-1.000 (モーラ近似長 平均=3.0, 標準偏差=0.0)" and "閾値(-0.24)未満" in low.detail
+
+
+def test_low_specificity_shows_the_first_line(spark):
+    text = "側面 観点 重要性 可能性 存在 意味 本質 価値 意義 課題 問題 要素 要因 背景 傾向 姿勢 視点 概念 特徴 性質 状況 状態 変化 側面 観点 重要性 可能性 存在 意味 本質 価値"
+    found = lint.low_specificity(ja(spark, text), JA).collect()
+    assert [r.excerpt for r in found] == [text[:40]] and "抽象名詞率=1.000, 例示マーカー=なし。" in found[0].detail
+
+
 def test_mora(spark):
     total = spark.createDataFrame([("キョウ",), ("ハ",)], "r string").agg(F.sum(tokens.mora(F.col("r")))).first()[0]
     assert total == 3
