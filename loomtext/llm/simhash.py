@@ -24,6 +24,23 @@ BLOCKS = (0, 23)
 CHUNK = 1 << 16
 
 
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of ``size`` words, in order, repeats included.
+
+    A-Z are lower-cased; fewer words are one shingle; no word: none.
+    """
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - size + 1)
+    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
+    stops = (ends[size - 1 :] if len(words) >= size else ends[-1:]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
 def fingerprint(text: bytes) -> int:
     """64 majority bits of the XXH64 (seed 42) of the text's three-word shingles, repeats included.
 
