@@ -132,7 +132,8 @@ def mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, log_p:
 
     pi, _ = em(pi, rounds)
     order = np.argsort(-pi, axis=1, kind="stable")
-    most = int(min(langs, max(1, (pi >= 0.05).sum(1).max())))
+    sizes = np.clip((pi >= 0.05).sum(1), 1, langs)  # each document's own, whatever stands beside it
+    most = int(sizes.max())
     best, best_score = pi, np.full(docs, -np.inf)
     for k in range(1, most + 1):
         some = np.full((docs, langs), 1e-12)
@@ -142,6 +143,7 @@ def mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, log_p:
         fitted, like = em(some, 3 if k > 1 else 0)
         score = np.full(docs, -np.inf)
         score[full] = like[full] - 0.5 * k * np.log(total)
+        score[sizes < k] = -np.inf
         better = score > best_score
         best = np.where(better[:, None], fitted, best)
         best_score = np.where(better, score, best_score)
