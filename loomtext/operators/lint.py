@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import WS, blank, cut, find_all, fixed, int_list, mean, percent, pstdev, strip
+from loomtext.operators import morph
 from loomtext.operators.findings import capped, emit, finding, one_if, related_text, union
 from loomtext.operators.parse import HEADING, LIST_ITEM, keep, piece_count
-from loomtext.operators.tokens import mora, part_of_speech, with_tokens
+from loomtext.operators.tokens import mora, part_of_speech, with_morphemes, with_tokens
 from loomtext.plans.profiles import LATIN, Profile
 
 
@@ -355,12 +356,15 @@ def low_specificity(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
 
 
 def lint(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    """All detectors that need no dictionary, as one findings table."""
-    t = parsed = with_tokens(parsed, profile).persist()  # parsed and tokenized once for all
+    """All 23 detectors, as one findings table. Morphemes are the profile's own tokens, unless ``parsed``
+    brings a column of them."""
+    t = with_tokens(parsed, profile)
+    t = parsed = (t if "morphemes" in t.columns else with_morphemes(t, profile)).persist()  # parsed and tokenized once for all
     return union([
         structural(parsed, profile), forbidden_phrases(parsed, profile), translationese(parsed, profile), antithesis(parsed, profile),
         sentence_variance(parsed, profile), inanimate_subject(parsed, profile), cleft_because(parsed, profile), paragraph_leads(parsed, profile),
         uniform_paragraphs(parsed, profile), burstiness(t, profile), repeated_leads(t, profile), diversity(t, profile), low_specificity(parsed, profile),
+        morph.nominal_ending(t, profile.params), morph.translationese_morph(t), morph.inanimate_subject_morph(t), morph.syntax_template(t, profile.params),
     ])
 
 
