@@ -250,6 +250,13 @@ def fire_matrix(spark, sf_dir):
     return calibrate.fire_matrix(spark, found, docs, CATEGORIES).select("category", "grp", "docs", "fired", "fire_rate", "per_1000")
 
 
+def fire_matrix_whole(spark, sf_dir):
+    """As fire_matrix, over the findings of all detectors; its SQL knows two, so this one has none."""
+    docs = _sides(spark, sf_dir).withColumnRenamed("side", "grp")
+    found = lint.lint(parsed(spark, sf_dir), LATIN).select("doc_id", "category")
+    return calibrate.fire_matrix(spark, found, docs, CATEGORIES).select("category", "grp", "docs", "fired", "fire_rate", "per_1000")
+
+
 def length_bins(spark, sf_dir):
     found = lint.forbidden_phrases(parsed(spark, sf_dir), LATIN).select("doc_id").distinct().withColumn("f", F.lit(True))
     fired = _sides(spark, sf_dir).join(found, "doc_id", "left").withColumn("fired", F.coalesce("f", F.lit(False)))
@@ -275,12 +282,18 @@ def naturalness_score(spark, sf_dir):
     return documents.naturalness(lint.forbidden_phrases(parsed(spark, sf_dir), LATIN), docs).select("doc_id", F.col("chars").cast("bigint").alias("chars"), "score", "band")
 
 
+def naturalness_score_whole(spark, sf_dir):
+    """As naturalness_score, over the findings of all detectors; the SQL weighs one, so this one has none."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return documents.naturalness(lint.lint(parsed(spark, sf_dir), LATIN), docs).select("doc_id", F.col("chars").cast("bigint").alias("chars"), "score", "band")
+
+
 _OWN = (
     lines, sentences, paragraphs, mask_comments, mask_structure, token_table, forbidden_phrase, findings_by_category, translationese, inanimate_subject,
     antithesis_repetition, cleft_pairs, paragraph_lead, related_lines, sentence_variance_stats, low_sentence_variance, uniform_paragraph, structure_stats,
     bold_density, burstiness, repeated_lead, syntax_template, lexical_diversity, mtld, nominal_ratio, specificity, low_specificity, rhythm_findings, low_ttr, sentence_too_long, long_run, no_chain,
     reading_load, findings_union, genre_filter, baseline_diff, outline, heading_stats, terms, semantic_metrics, semantic_findings, fire_matrix, length_bins,
-    sweep_curve, sweep_recommend, naturalness_score,
+    sweep_curve, sweep_recommend, naturalness_score, fire_matrix_whole, naturalness_score_whole,
 )
 
 
