@@ -81,9 +81,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int, int]]:
+    """The longest valid start of each match that ends at one of its words: what follows may look alike."""
+    out, m = [], IBAN.search(text)
+    while m:
+        code, end = m[0], 0
+        while code and not end:
+            if 15 <= len(c := code.replace(" ", "")) <= 34 and mod97(c):
+                end = m.start() + len(code)
+                out.append((m.start(), 4, end))
+            code = code.rpartition(" ")[0]
+        m = IBAN.search(text, end or m.start() + 1)
+    return out
+
+
 def more_spans(text: str) -> list[tuple[int, int, int]]:
-    out = [(m.start(), 4, m.end()) for m in IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c)]
-    return out + [(m.start(), 5, m.end()) for m in SSN.finditer(text)]
+    return ibans(text) + [(m.start(), 5, m.end()) for m in SSN.finditer(text)]
 
 
 def scored(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
