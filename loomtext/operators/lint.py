@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import WS, blank, cut, find_all, fixed, int_list, mean, percent, pstdev, strip
+from loomtext.functions.text import WS, blank, cut, fixed, int_list, mean, percent, pstdev, strip
 from loomtext.operators import morph
 from loomtext.operators.findings import capped, emit, finding, one_if, related_text, union
-from loomtext.operators.parse import HEADING, LIST_ITEM, keep, piece_count
+from loomtext.operators.parse import HEADING, LIST_ITEM, keep, mask_comments, piece_count
 from loomtext.operators.tokens import mora, part_of_speech, with_morphemes, with_tokens
 from loomtext.plans.profiles import LATIN, Profile
 
@@ -48,26 +50,36 @@ def _quoted(s: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in s)
 
 
-def pattern_hits(parsed: DataFrame, patterns: tuple[str, ...], around: int) -> Column:
-    """Array of (line, excerpt, pattern, number of it) in the order line, pattern, place."""
+_HITS = pa.list_(pa.struct([("line", pa.int32()), ("excerpt", pa.string()), ("pattern", pa.string()), ("seq", pa.int32())]))
 
-    def hits(x: Column, k: int, p: str) -> Column:
-        def row(m: Column, i: Column) -> Column:
-            excerpt = cut(x["raw"], m["start"] - around, m["end"] + around)
-            return F.struct(x["line"].alias("line"), excerpt.alias("excerpt"), F.lit(p).alias("pattern"), (i + 1000 * k).alias("seq"))
 
-        return F.transform(find_all(x["masked"], p), row)
+def pattern_finder(patterns: tuple[str, ...], around: int) -> Callable[[pa.Array], pa.Array]:
+    """Matches need their places in the line for the excerpt of the raw text. Cut by column functions, each
+    would be sought from the start of the line; here a line is passed once for each pattern."""
+    compiled = [re.compile(p) for p in patterns]
 
-    def of_line(x: Column) -> Column:
-        return F.concat(*[hits(x, k, "(?d)" + p) for k, p in enumerate(patterns)])
+    def of_line(x: dict) -> list[dict]:
+        line, masked, raw = x["line"], x["masked"], x["raw"]
+        return [
+            {"line": line, "excerpt": raw[max(0, m.start() - around) : m.end() + around], "pattern": p.pattern, "seq": i + 1000 * k}
+            for k, p in enumerate(compiled)
+            for i, m in enumerate(p.finditer(masked))
+        ]
+
+    return lambda documents: pa.array([[h for x in lines for h in of_line(x)] for lines in documents.to_pylist()], _HITS)
 
+
+def pattern_hits(parsed: DataFrame, patterns: tuple[str, ...], around: int) -> Column:
+    """Array of (line, excerpt, pattern, number of it) in the order line, pattern, place. Only lines with a
+    match leave the JVM."""
     some = F.filter("lines", lambda x: x["masked"].rlike("|".join(f"(?:{p})" for p in patterns)))
-    return F.flatten(F.transform(some, of_line))
+    found = F.arrow_udf(pattern_finder(patterns, around), "array<struct<line int, excerpt string, pattern string, seq int>>")
+    return found(some)
 
 
 def translationese(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     df = keep(parsed, "__h", pattern_hits(parsed, profile.translationese, 10))
-    detail = lambda h: F.concat(F.lit("翻訳調パターン: /"), F.substr(h["pattern"], F.lit(5)), F.lit("/ に一致"))
+    detail = lambda h: F.concat(F.lit("翻訳調パターン: /"), h["pattern"], F.lit("/ に一致"))
     return emit(df, "translationese", 3, F.transform("__h", lambda h: finding(h["line"], strip(h["excerpt"]), detail(h), "info", seq=h["seq"])))
 
 
@@ -146,12 +158,18 @@ def uniform_paragraphs(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame
     return emit(df, "uniform_paragraph_structure", 7, one_if(cv < p.uniform_cv, finding(F.lit(1), excerpt, detail, "info", seq=F.lit(1))))
 
 
-def structure_stats(docs: DataFrame, profile: Profile = LATIN, text: str = "text") -> DataFrame:
+def structure_text(text: str, raw: bool) -> Column:
+    return F.col(text) if raw else mask_comments(F.col(text))
+
+
+def structure_stats(docs: DataFrame, profile: Profile = LATIN, text: str = "text", raw: bool = False) -> DataFrame:
     """Counts of bold spans, bullets, boilerplate headings, numbered phases and symbols of each text.
 
-    Sees text with only comments masked, so lines in code count too.
+    Sees text with only comments masked, so lines in code count too; ``raw`` leaves comments in, as
+    calibration wants it.
     """
-    t = F.col(text)
+    docs = keep(docs, "__s", structure_text(text, raw))
+    t = F.col("__s")
     lines = F.split(F.regexp_replace(t, "\n\\z", ""), "\n", -1)
     df = keep(docs, "__l", F.filter(lines, lambda x: ~blank(x)))
     body = lambda x: F.lower(strip(F.regexp_replace(x, HEADING, "")))
@@ -172,10 +190,11 @@ def structure_stats(docs: DataFrame, profile: Profile = LATIN, text: str = "text
     )
 
 
-def structural(parsed: DataFrame, profile: Profile = LATIN, text: str = "text") -> DataFrame:
-    """The five detectors of Markdown structure."""
-    t = F.col(text)
-    df = keep(parsed, "__all", F.transform(F.split(F.regexp_replace(t, "\n\\z", ""), "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))))
+def structural(parsed: DataFrame, profile: Profile = LATIN, text: str = "text", raw: bool = False) -> DataFrame:
+    """The five detectors of Markdown structure, on text with comments masked unless ``raw``."""
+    t = F.col("__s")
+    df = keep(parsed, "__s", structure_text(text, raw))
+    df = keep(df, "__all", F.transform(F.split(F.regexp_replace(t, "\n\\z", ""), "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))))
     chars = F.greatest(F.length(t), F.lit(1))
     bold_re, phase_re = r"\*\*[^*\n]+\*\*", profile.phase.format(ws=WS)
 
@@ -355,15 +374,25 @@ def low_specificity(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     return emit(s, "low_specificity", 13, one_if(F.col("score") < least, finding(F.col("line"), F.substr(strip(F.col("head")), F.lit(1), F.lit(40)), detail, "info")))
 
 
-def lint(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    """All 23 detectors, as one findings table. Morphemes are the profile's own tokens, unless ``parsed``
-    brings a column of them."""
-    t = with_tokens(parsed, profile)
-    t = parsed = (t if "morphemes" in t.columns else with_morphemes(t, profile)).persist()  # parsed and tokenized once for all
+def prepared(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    """``parsed`` with tokens and morphemes, which are the profile's own tokens unless it brings some."""
+    t = parsed if "tokens" in parsed.columns else with_tokens(parsed, profile)
+    return t if "morphemes" in t.columns else with_morphemes(t, profile)
+
+
+def lint(parsed: DataFrame, profile: Profile = LATIN, raw: bool = False) -> DataFrame:
+    """All 23 detectors, as one findings table; ``raw`` as in :func:`structural`.
+
+    The detectors share one cached table of what was parsed and tokenized. A caller that lints again and
+    again caches ``prepared(parsed)`` itself and gives it back when done; else it is cached here, and
+    stays until the session's cache is cleared.
+    """
+    t = prepared(parsed, profile)
+    t = t if t.storageLevel.useMemory else t.persist()
     return union([
-        structural(parsed, profile), forbidden_phrases(parsed, profile), translationese(parsed, profile), antithesis(parsed, profile),
-        sentence_variance(parsed, profile), inanimate_subject(parsed, profile), cleft_because(parsed, profile), paragraph_leads(parsed, profile),
-        uniform_paragraphs(parsed, profile), burstiness(t, profile), repeated_leads(t, profile), diversity(t, profile), low_specificity(parsed, profile),
+        structural(t, profile, raw=raw), forbidden_phrases(t, profile), translationese(t, profile), antithesis(t, profile),
+        sentence_variance(t, profile), inanimate_subject(t, profile), cleft_because(t, profile), paragraph_leads(t, profile),
+        uniform_paragraphs(t, profile), burstiness(t, profile), repeated_leads(t, profile), diversity(t, profile), low_specificity(t, profile),
         morph.nominal_ending(t, profile.params), morph.translationese_morph(t), morph.inanimate_subject_morph(t), morph.syntax_template(t, profile.params),
     ])
 

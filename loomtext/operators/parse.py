@@ -47,33 +47,38 @@ def mask_line(line: Column) -> Column:
     return F.when(line.rlike(STRUCTURE), "").otherwise(blanked(line, LINK))
 
 
-_FENCE = re.compile(f"^[{WS}]*(`{{3,}}|~{{3,}})")
-_FRONT = re.compile(f"^---[{WS}]*$")
+FENCE = re.compile(f"^[{WS}]*(`{{3,}}|~{{3,}})")
+FRONT = re.compile(f"^---[{WS}]*$")
 _SPAN = re.compile(r"``.+?``(?!`)|`[^`\n]+`")
 _LINK = re.compile(LINK)
 _SPACES = lambda m: " " * len(m[0])
 
 
+def closes(fence: str, line: str) -> bool:
+    """Whether a line ends the code that ``fence`` opened: the same mark, as often at least, alone."""
+    return bool(re.match(f"[{WS}]*{re.escape(fence[0])}{{{len(fence)},}}[{WS}]*$", line))
+
+
 def mask_lines(text: str) -> list[str]:
     """The sequential mask: front matter, then fences, then comments (their state moves only outside the
     other two), then structural lines, code spans and link targets."""
     lines = (text[:-1] if text.endswith("\n") else text).split("\n") if text else []
     out, fence, comment, front = [], None, False, False
     for i, line in enumerate(lines):
-        if i == 0 and _FRONT.match(line):
+        if i == 0 and FRONT.match(line):
             front = True
             out.append("")
             continue
         if front:
-            front = not _FRONT.match(line)
+            front = not FRONT.match(line)
             out.append("")
             continue
         if fence:
-            if re.match(f"^[{WS}]*{re.escape(fence[0])}{{{len(fence)},}}[{WS}]*$", line):
+            if closes(fence, line):
                 fence = None
             out.append("")
             continue
-        if not comment and (m := _FENCE.match(line)):
+        if not comment and (m := FENCE.match(line)):
             fence = m[1]
             out.append("")
             continue
@@ -109,8 +114,8 @@ def mask_sequential(texts: pa.Array) -> pa.Array:
 
 
 def parse(docs: DataFrame, profile: Profile = LATIN, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``carry``, text, lines (line, masked, raw), sentences (line, text, raw), paragraphs
-    (first, text). Null texts are dropped. Only rows that need it pass through Python."""
+    """``doc_id``, ``carry``, text, lines (line, masked, raw), sentences (line, text, raw, raw_offset: where
+    text begins in raw), paragraphs (first, text). Null texts are dropped. Only rows that need it pass through Python."""
     clean = F.regexp_replace(F.col(text), "\r\n?", "\n")
     df = docs.select(F.col(doc_id).alias("doc_id"), *carry, clean.alias("text")).where("text is not null")
     hard = F.arrow_udf(mask_sequential, "array<string>")(F.when(F.col("text").rlike(SEQUENTIAL), F.col("text")))
@@ -123,16 +128,14 @@ def parse(docs: DataFrame, profile: Profile = LATIN, text: str = "text", doc_id:
 
     def pieces(x: Column) -> Column:
         masked = F.split(x["masked"], pattern, -1)
-        same = F.transform(masked, lambda p: F.struct(x["line"].alias("line"), strip(p).alias("text"), strip(p).alias("raw")))
-        apart = F.transform(
-            masked,
-            lambda p, i: F.struct(
-                x["line"].alias("line"),
-                strip(p).alias("text"),
-                strip(F.substr(x["raw"], F.length(F.array_join(F.slice(masked, F.lit(1), i), ".")) + F.when(i > 0, 2).otherwise(1), F.length(p))).alias("raw"),
-            ),
-        )
-        return F.when((x["masked"] == x["raw"]) | (F.length(x["masked"]) != F.length(x["raw"])), same).otherwise(apart)
+        same = F.transform(masked, lambda p: F.struct(x["line"].alias("line"), strip(p).alias("text"), strip(p).alias("raw"), F.lit(0).alias("raw_offset")))
+
+        def apart(p: Column, i: Column) -> Column:
+            raw = F.substr(x["raw"], F.length(F.array_join(F.slice(masked, F.lit(1), i), ".")) + F.when(i > 0, 2).otherwise(1), F.length(p))
+            lead = lambda s: F.length(s) - F.length(F.regexp_replace(s, f"\\A[{WS}]+", ""))
+            return F.struct(x["line"].alias("line"), strip(p).alias("text"), strip(raw).alias("raw"), (lead(p) - lead(raw)).alias("raw_offset"))
+
+        return F.when((x["masked"] == x["raw"]) | (F.length(x["masked"]) != F.length(x["raw"])), same).otherwise(F.transform(masked, apart))
 
     df = keep(df, "sentences", F.filter(F.flatten(F.transform("lines", pieces)), lambda s: s["text"] != ""))
     starts = F.filter("lines", lambda x, i: ~blank(x["masked"]) & ((i == 0) | blank(F.get("lines", i - 1)["masked"])))

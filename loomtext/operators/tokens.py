@@ -3,10 +3,14 @@ sentences to arrays of the same struct."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import find_all
 from loomtext.operators.parse import keep
 from loomtext.plans.profiles import LATIN, Profile
 
@@ -23,20 +27,43 @@ def part_of_speech(x: Column, profile: Profile) -> Column:
     return F.when(x.rlike(profile.content), "名詞").when(x.rlike("^[0-9]"), "数詞").otherwise("補助記号")
 
 
-def tokenized(text: Column, profile: Profile = LATIN) -> Column:
-    return F.transform(
-        find_all(text, profile.token),
-        lambda m: F.struct(
-            m["text"].alias("surface"),
-            part_of_speech(m["text"], profile).alias("pos"),
-            F.when(m["text"].rlike("^[A-Z][A-Za-z0-9]+$"), "固有名詞").otherwise("*").alias("pos2"),
-            F.lower(m["text"]).alias("dict"),
-            F.lower(m["text"]).alias("norm"),
-            m["text"].alias("reading"),
-            m["start"].alias("begin"),
-            m["end"].alias("end"),
-        ),
-    )
+def tokenizer(profile: Profile) -> Callable[[pa.Array], pa.Array]:
+    """Token structs of each sentence of each document. Offsets need the places of matches, which column
+    functions do not give, so this is one Arrow pass; what depends on the word alone is found once a word."""
+    find = re.compile(profile.token, re.ASCII).finditer
+    content, capital = re.compile(profile.content).search, re.compile("[A-Z][A-Za-z0-9]+").fullmatch
+    hiragana, noun = re.compile("[ぁ-ゖ]+").fullmatch, re.compile("[一-鿿々]|[ァ-ヶー]|[A-Za-z0-9]").match
+
+    def kinds(word: str) -> tuple[str, str, str]:
+        if profile.name == "ja":
+            pos = "助詞" if hiragana(word) else "名詞" if noun(word) else "補助記号"
+        else:
+            pos = "名詞" if content(word) else "数詞" if "0" <= word[0] <= "9" else "補助記号"
+        return pos, "固有名詞" if capital(word) else "*", word.lower()
+
+    def run(documents: pa.Array) -> pa.Array:
+        known: dict[str, tuple[str, str, str]] = {}
+        words, begin, end, per_sentence, per_document = [], [], [], [], []
+        for sentences in documents.to_pylist():
+            per_document.append(len(sentences or ()))
+            for sentence in sentences or ():
+                before = len(words)
+                for m in find(sentence):
+                    words.append(m[0])
+                    begin.append(m.start())
+                    end.append(m.end())
+                per_sentence.append(len(words) - before)
+        for w in set(words):
+            known[w] = kinds(w)
+        columns = zip(*[known[w] for w in words], strict=True) if words else ((), (), ())
+        pos, pos2, base = (pa.array(c, pa.string()) for c in columns)
+        surface = pa.array(words, pa.string())
+        parts = [surface, pos, pos2, base, base, surface, pa.array(begin, pa.int32()), pa.array(end, pa.int32())]
+        structs = pa.StructArray.from_arrays(parts, ["surface", "pos", "pos2", "dict", "norm", "reading", "begin", "end"])
+        offsets = lambda sizes: pa.array([0, *accumulate(sizes)], pa.int32())
+        return pa.ListArray.from_arrays(offsets(per_document), pa.ListArray.from_arrays(offsets(per_sentence), structs))
+
+    return run
 
 
 def surfaces(text: Column, profile: Profile = LATIN) -> Column:
@@ -51,7 +78,8 @@ def with_tokens(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
 
 def with_morphemes(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     """Adds ``morphemes``: an array of token structs for each sentence."""
-    return keep(parsed, "morphemes", F.transform("sentences", lambda s: tokenized(s["text"], profile)))
+    tokens = F.arrow_udf(tokenizer(profile), f"array<array<{FIELDS}>>")
+    return parsed.withColumn("morphemes", tokens(F.transform("sentences", lambda s: s["text"])))
 
 
 def mora(reading: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from loomtext.operators.lint import lint
+from loomtext.operators.lint import lint, prepared
 from loomtext.operators.parse import parse
 from loomtext.plans.profiles import LATIN, Profile
 
@@ -18,9 +18,9 @@ def lint_stream(spark: SparkSession, path: str, out: str, checkpoint: str, profi
     after a failure replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        parsed = parse(batch, profile).persist()
-        lint(parsed, profile).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        parsed.unpersist()
+        cached = prepared(parse(batch, profile), profile).persist()
+        lint(cached, profile).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        cached.unpersist()
 
     stream = spark.readStream.schema(SCHEMA).parquet(path)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
