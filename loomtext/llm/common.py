@@ -19,9 +19,12 @@ NULL_ID = -(2**63)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, from spark.checkpoint.dir; one is set if there is none."""
+    """The folder shared by driver and executors, from spark.checkpoint.dir. Where it is unset, one is made,
+    but in local mode only: executors elsewhere would not see it."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="loomtext-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")
@@ -35,7 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.loomtext_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what :func:`materialize` wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.loomtext_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

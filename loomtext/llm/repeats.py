@@ -3,11 +3,11 @@
 1. Each run of windows with one content-defined sample (:mod:`sampling`) has that sample as its key.
    Keys are counted; those found once cannot hold a repeat and go, by a Bloom filter.
 2. Runs are grouped by (key, content hash), with map-side combining: copies of a run become a count,
-   the smallest document and one place. A run found twice is settled without its text.
-3. Only different contents of one key are compared by their text, read once for each content. Keys are
-   packed into shards of bounded size, which the caller's index (suffix array, suffix tree) takes
-   whole. A key with more distinct text than a shard holds is compared by hashes of single windows,
-   which are counted like anything else.
+   the smallest document and one place.
+3. Each distinct content of a key that may hold a repeat is read once. Keys are packed into shards of
+   bounded size, which the caller's index (suffix array, suffix tree) takes whole. A key with more
+   distinct text than a shard holds is left to the next level, where samples are longer, so that its
+   windows part into more keys; at the last level the sample is the window itself, which has one content.
 4. What was found for a content goes back to all its places and is gathered by document.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm import bloom
-from loomtext.llm.common import materialize, pieces, row_key, text_bytes
+from loomtext.llm.common import discard, materialize, pieces, row_key, text_bytes
 from loomtext.llm.sampling import MOST, regions
 
 #: Bytes of text worked on at a time in a scan.
@@ -39,9 +39,14 @@ class Windows:
     """What a window is: ``size`` units, which ``units`` makes of the bytes of a text."""
 
     size: int
-    gram: int
+    #: length of the sample at each level; the last is ``size``
+    grams: tuple[int, ...]
     #: units (uint8 or uint64) of each text in a run of texts: all units and len + 1 offsets
     units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    #: first byte and end of each unit of a run of texts, and len + 1 offsets
+    places: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: numbers that are equal for equal units, of the text of contents end to end
+    symbols: Callable[[list[bytes]], np.ndarray]
     index: Index
     #: units of a shard
     shard: int
@@ -62,26 +67,39 @@ def _segments(units: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tup
             yield part, np.array([0, len(part)]), d, s - a
 
 
-def _scan(batches: Iterator[pa.RecordBatch], w: Windows, emit: Callable) -> Iterator[pa.RecordBatch]:
+def at_level(u: np.ndarray, o: np.ndarray, w: Windows, level: int, large: list) -> tuple[np.ndarray, ...]:
+    """The runs of a level: of the windows whose keys were too large at all levels before."""
+    only = None
+    for k in range(level):
+        _, start, n, key = regions(u, o, w.size, w.grams[k], only)
+        ok = large[k].value.contains(key)
+        edge = np.zeros(len(u) + 1, np.int32)
+        np.add.at(edge, start[ok], 1)
+        np.add.at(edge, (start + n)[ok], -1)
+        only = np.cumsum(edge[:-1]) > 0
+    return regions(u, o, w.size, w.grams[level], only)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], w: Windows, level: int, large: list, emit: Callable) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(batch.num_columns - 1))
         for i, j in pieces(offsets, CHUNK):
             part = offsets[i : j + 1]
             units, at = w.units(data[part[0] : part[-1]], part - part[0])
             for u, o, first, shift in _segments(units, at, w.size):
-                doc, start, n, key = regions(u, o, w.size, w.gram)
+                doc, start, n, key = at_level(u, o, w, level, large)
                 if len(doc):
                     yield emit(batch, u, start, n, key, doc + i + first, start - o[doc] + shift)
 
 
-def keys_of(w: Windows) -> Callable:
+def keys_of(w: Windows, level: int, large: list) -> Callable:
     def emit(batch, u, start, n, key, doc, at):
         return pa.record_batch([pa.array(key.view(np.int64))], ["key"])
 
-    return lambda batches: _scan(batches, w, emit)
+    return lambda batches: _scan(batches, w, level, large, emit)
 
 
-def runs_of(w: Windows, shared) -> Callable:
+def runs_of(w: Windows, level: int, large: list, shared) -> Callable:
     def emit(batch, u, start, n, key, doc, at):
         ok = np.flatnonzero(shared.value.contains(key))
         raw, size = u.tobytes(), u.itemsize
@@ -94,11 +112,11 @@ def runs_of(w: Windows, shared) -> Callable:
             ["key", "content", "id", "h", "start", "n"],
         )
 
-    return lambda batches: _scan(batches, w, emit)
+    return lambda batches: _scan(batches, w, level, large, emit)
 
 
 def slices_of(w: Windows) -> Callable:
-    """Units of the contents whose places are in the column ``places`` of a document."""
+    """Text of the contents whose places are in the column ``places`` of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,18 +128,16 @@ def slices_of(w: Windows) -> Callable:
             begin, n = fields["start"].to_numpy(), fields["n"].to_numpy()
             for i, j in pieces(offsets, CHUNK):
                 part = offsets[i : j + 1]
-                units, at = w.units(data[part[0] : part[-1]], part - part[0])
-                raw, size = units.tobytes(), units.itemsize
+                raw = data[part[0] : part[-1]]
+                first, end, at = w.places(raw, part - part[0])
                 lo, hi = int(starts[i]), int(starts[j])
                 doc = np.searchsorted(starts[i : j + 1], np.arange(lo, hi), "right") - 1
-                a = (at[doc] + begin[lo:hi]) * size
-                b = a + (n[lo:hi] + w.size - 1) * size
-                body = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                a = at[doc] + begin[lo:hi]
+                b = a + n[lo:hi] + (w.size - 2)
+                raw = raw.tobytes()
+                body = [raw[x:y] for x, y in zip(first[a].tolist(), end[b].tolist(), strict=True)]
                 cut = slice(lo, hi)
-                yield pa.record_batch(
-                    [*(fields[k][cut] for k in ("key", "content", "n", "occ", "least", "large")), pa.array(body, pa.binary())],
-                    ["key", "content", "n", "occ", "least", "large", "body"],
-                )
+                yield pa.record_batch([*(fields[k][cut] for k in BODY[:-1]), pa.array(body, pa.binary())], list(BODY))
 
     return run
 
@@ -154,14 +170,12 @@ def shards_of(w: Windows) -> Callable:
 
     def judge(rows: list[tuple[np.ndarray, ...]], bodies: list[bytes]) -> pa.RecordBatch:
         key, content, n, occ, least = (np.concatenate(x) for x in zip(*rows, strict=True))
-        kind = np.uint8 if w.keep_first is False else np.uint64
-        units = np.frombuffer(b"".join(bodies), kind)
         offsets = np.concatenate(([0], np.cumsum(n.astype(np.int64) + w.size - 1)))
-        owner, a, b, low = _spans(w.index(units, offsets, n), n, occ, least, w.keep_first)
-        return pa.record_batch(
-            [pa.array(x) for x in (key[owner], content[owner], a.astype(np.int32), b.astype(np.int32), low)],
-            ["key", "content", "s", "e", "least"],
-        )
+        owner, a, b, low = _spans(w.index(w.symbols(bodies), offsets, n), n, occ, least, w.keep_first)
+        who, first = np.unique(owner, return_index=True)
+        parts = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(low)], ["s", "e", "least"])
+        parts = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), parts)
+        return pa.record_batch([pa.array(key[who]), pa.array(content[who]), parts], ["key", "content", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, bodies, size, last = [], [], 0, None
@@ -187,76 +201,64 @@ def shards_of(w: Windows) -> Callable:
     return run
 
 
-def single_windows(w: Windows) -> Callable:
-    """A hash of each window of each content, for keys with more text than a shard holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = 1 if w.keep_first is False else 8
-        for batch in batches:
-            n = batch.column(2).to_numpy()
-            for k, body in enumerate(batch.column(5).to_pylist()):
-                hashes = [xxhash.xxh64_intdigest(body[unit * i : unit * (i + w.size)]) for i in range(int(n[k]))]
-                m = len(hashes)
-                same = [batch.column(c).slice(k, 1).take(pa.array(np.zeros(m, np.int64))) for c in (0, 1, 3, 4)]
-                yield pa.record_batch(
-                    [*same, pa.array(np.arange(m, dtype=np.int32)), pa.array(np.array(hashes, np.uint64).view(np.int64))],
-                    ["key", "content", "occ", "least", "s", "hash"],
-                )
-
-    return run
+#: Of a distinct content: its key and hash, windows, copies, smallest document and text.
+BODY = ("key", "content", "n", "occ", "least", "body")
+RUN = "key bigint, content bigint, id bigint, h bigint, start int, n int"
 
 
-def removal_spans(docs: DataFrame, w: Windows, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``__id, __h, spans``: for each document with something to remove, its spans of units (s, e)."""
-    spark = docs.sparkSession
-    source = row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where("text is not null").select("__id", "__h", "text")
-    counted = source.select("text").mapInArrow(keys_of(w), "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+def _level(source: DataFrame, w: Windows, level: int, large: list) -> tuple[DataFrame | None, object]:
+    """Of a level: ``id, h, s, e`` of what goes, and the Bloom filter of the keys left to the next level."""
+    counted = source.select("text").mapInArrow(keys_of(w, level, large), "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     twice = materialize(counted.where("n > 1").select("key"), "keys")
-    shared = bloom.build(twice, twice.count())
-    runs = source.mapInArrow(runs_of(w, shared), "key bigint, content bigint, id bigint, h bigint, start int, n int")
-    least = F.min("id").alias("least")
+    n_twice = twice.count()
+    if not n_twice:
+        discard(twice)
+        return None, None
+    shared = bloom.build(twice, n_twice)
+    discard(twice)
+    runs = source.mapInArrow(runs_of(w, level, large, shared), RUN)
     contents = materialize(
-        runs.groupBy("key", "content", "n").agg(F.count(F.lit(1)).alias("occ"), least, F.max("id").alias("most"), F.min(F.struct("id", "h", "start")).alias("rep")),
+        runs.groupBy("key", "content", "n").agg(F.count(F.lit(1)).alias("occ"), F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("id", "h", "start")).alias("rep")),
         "contents",
     )
     by_key = contents.groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"),
-        F.sum("occ").alias("all"),
-        F.min("occ").alias("fewest"),
-        F.min("least").alias("low"),
-        F.max("most").alias("high"),
-        F.sum(F.col("n").cast("bigint") + (w.size - 1)).alias("units"),
+        F.sum("occ").alias("all"), F.min("least").alias("low"), F.max("most").alias("high"), F.sum(F.col("n").cast("bigint") + (w.size - 1)).alias("units")
     )
-    # what a key's contents have in common matters only where copies alone do not settle it
-    open_keys = by_key.where("parts > 1 and high > low" if w.keep_first else "parts > 1 and fewest = 1")
-    open_keys = open_keys.select("key", (F.col("units") > w.shard).alias("large"))
-    unsettled = contents.join(open_keys, "key")
-    places = unsettled.groupBy(F.col("rep.id").alias("__id"), F.col("rep.h").alias("__h")).agg(
-        F.collect_list(F.struct(F.col("rep.start").alias("start"), "n", "key", "content", "occ", "least", "large")).alias("places")
+    too_large = (F.col("units") > w.shard) & F.lit(level + 1 < len(w.grams))
+    wanted = materialize(by_key.where("high > low" if w.keep_first else "all > 1").select("key", too_large.alias("large")), "wanted")
+    places = contents.join(wanted.where("not large").select("key"), "key").groupBy(F.col("rep.id").alias("__id"), F.col("rep.h").alias("__h")).agg(
+        F.collect_list(F.struct(F.col("rep.start").alias("start"), "n", "key", "content", "occ", "least")).alias("places")
     )
-    text_of = "key bigint, content bigint, n int, occ bigint, least bigint, large boolean, body binary"
-    bodies = source.join(places, ["__id", "__h"]).select("places", "text").mapInArrow(slices_of(w), text_of)
-    bodies = materialize(bodies, "bodies")
-    columns = ["key", "content", "n", "occ", "least", "body"]
-    found_as = "key bigint, content bigint, s int, e int, least bigint"
-    small = bodies.where("not large").select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(shards_of(w), found_as)
-    windows = bodies.where("large").select(*columns).mapInArrow(single_windows(w), "key bigint, content bigint, occ bigint, least bigint, s int, hash bigint")
-    totals = windows.groupBy("key", "hash").agg(F.sum("occ").alias("all"), F.min("least").alias("low"))
-    large = windows.join(totals, ["key", "hash"])
-    large = (large if w.keep_first else large.where("all > 1")).select(
-        "key", "content", "s", (F.col("s") + 1).alias("e"), F.col("low").alias("least")
-    )
-    settled = contents.join(open_keys.select("key"), "key", "left_anti")
-    settled = settled.where("most > least" if w.keep_first else "occ > 1")
-    settled = settled.select("key", "content", F.lit(0).alias("s"), F.col("n").alias("e"), "least")
-    decided = settled.unionByName(small).unionByName(large)
+    bodies = source.join(places, ["__id", "__h"]).select("places", "text").mapInArrow(slices_of(w), "key bigint, content bigint, n int, occ bigint, least bigint, body binary")
+    found = bodies.repartition("key").sortWithinPartitions("key").mapInArrow(shards_of(w), "key bigint, content bigint, parts array<struct<s int, e int, least bigint>>")
     # written, so that both sides of the join are plain exchanges, which AQE can split where a content is hot
-    decided = materialize(decided.groupBy("key", "content").agg(F.collect_list(F.struct("s", "e", "least")).alias("parts")), "decided")
+    decided = materialize(found, "decided")
+    rest = wanted.where("large").select("key")
+    n_rest = rest.count()
+    left = bloom.build(rest, n_rest) if n_rest else None
+    discard(contents)
+    discard(wanted)
     hits = runs.join(decided, ["key", "content"]).select("id", "h", "start", F.explode("parts").alias("p"))
     if w.keep_first:
         hits = hits.where(F.col("id") > F.col("p.least"))
-    span = F.struct((F.col("start") + F.col("p.s")).alias("s"), (F.col("start") + F.col("p.e") + (w.size - 1)).alias("e"))
-    return hits.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(span).alias("spans"))
+    start = F.col("start")
+    return hits.select("id", "h", (start + F.col("p.s")).alias("s"), (start + F.col("p.e") + (w.size - 1)).alias("e")), left
+
+
+def removal_spans(docs: DataFrame, w: Windows, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``__id, __h, spans``: for each document with something to remove, its spans of units (s, e)."""
+    source = row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where("text is not null").select("__id", "__h", "text")
+    hits, large = None, []
+    for level in range(len(w.grams)):
+        more, left = _level(source, w, level, large)
+        if more is not None:
+            hits = more if hits is None else hits.unionByName(more)
+        if left is None:
+            break
+        large.append(left)
+    if hits is None:
+        hits = docs.sparkSession.createDataFrame([], "id bigint, h bigint, s int, e int")
+    return hits.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

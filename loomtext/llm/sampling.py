@@ -61,17 +61,18 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:last], ahead[width - 1 : width - 1 + last])
 
 
-def regions(units: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def regions(units: np.ndarray, offsets: np.ndarray, window: int, gram: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, start, number of windows and sample of each run of windows with the same sample.
 
     ``units`` are documents end to end, at ``offsets``; a run lies in one document and starts at
     ``start`` units in all. The sample is the last gram with the least hash in the window, so a
-    window's place beside it follows from its content, and no two windows of a run are equal.
+    window's place beside it follows from its content, and no two windows of a run are equal. ``only``
+    tells the starts of windows that count.
     """
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     lengths = np.diff(offsets)
     n = len(units)
-    if n < window or not (lengths >= window).any():
+    if n < window or not (lengths >= window).any() or (only is not None and not only.any()):
         return none
     hashes = gram_hashes(units, gram)
     at = np.arange(len(hashes), dtype=np.uint64)
@@ -81,7 +82,10 @@ def regions(units: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> t
     ok = lengths >= window
     inside[offsets[:-1][ok]] += 1
     inside[offsets[1:][ok] - window + 1] -= 1
-    valid = np.flatnonzero(np.cumsum(inside[:n]) > 0)
+    within = np.cumsum(inside[:n]) > 0
+    valid = np.flatnonzero(within if only is None else within & only)
+    if not len(valid):
+        return none
     a = anchor[valid]
     new = np.ones(len(valid), bool)
     new[1:] = (a[1:] != a[:-1]) | (valid[1:] != valid[:-1] + 1)

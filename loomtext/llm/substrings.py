@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import SPACE_CHARS
 from loomtext.llm.repeats import Windows, covered, removal_spans, with_spans
 
 #: Words of a sequence that only its first document keeps.
@@ -29,6 +30,24 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.array(hashes, np.uint64), np.array(ends, np.int64)
 
 
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word, and the number of words before each text."""
+    inside = ~np.isin(data, np.frombuffer(SPACE_CHARS.encode(), np.uint8))
+    full = offsets[1:] > offsets[:-1]
+    fresh, over = np.ones(len(data), bool), np.ones(len(data), bool)
+    fresh[1:] = ~inside[:-1]
+    over[:-1] = ~inside[1:]
+    fresh[offsets[:-1][full]] = True
+    over[offsets[1:][full] - 1] = True
+    first = np.flatnonzero(inside & fresh)
+    return first, np.flatnonzero(inside & over) + 1, np.searchsorted(first, offsets)
+
+
+def word_symbols(bodies: list[bytes]) -> np.ndarray:
+    """Equal numbers for equal words, which are compared whole."""
+    return pa.array([x for b in bodies for x in b.split()], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def prefix_groups(symbols: np.ndarray, starts: np.ndarray, depth: int, most: int) -> list[tuple[np.ndarray, int]]:
     """Splits suffixes by prefixes of varying length until a group has ``most`` at most, or its prefix
     has ``depth`` words: (suffixes, words that they share)."""
@@ -82,12 +101,11 @@ def deep_nodes(symbols: np.ndarray, suffixes: np.ndarray, shared: int, depth: in
     return out
 
 
-def window_classes(units: np.ndarray, offsets: np.ndarray, n: np.ndarray) -> np.ndarray:
+def window_classes(symbols: np.ndarray, offsets: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Classes of equal windows: deep nodes of the subtrees; a leaf is alone."""
-    symbols = np.unique(units, return_inverse=True)[1]
     total = int(n.sum())
     starts = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[:-1], n)
-    window = np.empty(len(units), np.int64)
+    window = np.empty(len(symbols), np.int64)
     window[starts] = np.arange(total)
     cls = np.empty(total, np.int64)
     used = 0
@@ -102,7 +120,7 @@ def window_classes(units: np.ndarray, offsets: np.ndarray, n: np.ndarray) -> np.
     return cls
 
 
-WORDS = Windows(size=LENGTH, gram=4, units=word_units, index=window_classes, shard=1 << 20, keep_first=True)
+WORDS = Windows(size=LENGTH, grams=(4, 8, 11, LENGTH), units=word_units, places=word_places, symbols=word_symbols, index=window_classes, shard=1 << 20, keep_first=True)
 
 RESULT = "struct<n_words bigint, n_removed bigint, kept_sha256 string>"
 

@@ -193,7 +193,18 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return data, offsets
 
 
-BYTES = Windows(size=LENGTH, gram=64, units=byte_units, index=window_classes, shard=2 << 20, keep_first=False)
+def byte_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.arange(len(data) + 1)
+    return at[:-1], at[1:], offsets
+
+
+def byte_symbols(bodies: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bodies), np.uint8)
+
+
+BYTES = Windows(
+    size=LENGTH, grams=(64, 224, 336, 384, LENGTH), units=byte_units, places=byte_places, symbols=byte_symbols, index=window_classes, shard=2 << 20, keep_first=False
+)
 
 RESULT = "struct<n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string>"
 
@@ -234,6 +245,8 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated strings of LENGTH bytes cut out of the texts."""
-    keyed = with_spans(docs.withColumns({"doc_id": F.col(doc_id), "text": F.col(text)}) if (doc_id, text) != ("doc_id", "text") else docs, removal_spans(docs, BYTES, doc_id, text))
-    return keyed.withColumn(text, F.arrow_udf(cut_text, "string")(F.col(text), F.col("spans"))).select(*docs.columns)
+    """``docs`` with repeated strings of LENGTH bytes cut out of the texts. Other columns, of any name, stay."""
+    packed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    cut = F.arrow_udf(cut_text, "string")(F.col("text"), F.col("spans"))
+    left = with_spans(packed, removal_spans(docs, BYTES, doc_id, text)).select("row", cut.alias("left"))
+    return left.select(*[F.col("left").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

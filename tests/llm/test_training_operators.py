@@ -195,7 +195,7 @@ def repeated_bytes(rows):
 def test_suffix_arrays(docs, rows, empty, shard, monkeypatch):
     from dataclasses import replace
 
-    monkeypatch.setattr(suffixes, "BYTES", replace(suffixes.BYTES, shard=shard))  # small: hashes of windows
+    monkeypatch.setattr(suffixes, "BYTES", replace(suffixes.BYTES, shard=shard))  # small: keys go on to longer samples
     assert sorted(tuple(r) for r in suffixes.digest(docs).collect()) == repeated_bytes(rows)
     assert suffixes.digest(empty).count() == 0
 
