@@ -114,5 +114,9 @@ def trimmed(text: Column) -> Column:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """A table, dealt to all cores where it has fewer splits than that. At scale it has more, and nothing
+    is moved."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -451,13 +451,62 @@ def test_quality(docs, rows, empty):
     assert quality.judge(empty).count() == 0
 
 
+def em(votes, rounds=30):
+    """Posterior of each row of votes: the same model in plain Python, row by row."""
+    k = len(votes[0])
+    prior, good, bad = quality.PRIOR, [quality.RIGHT_ON_GOOD] * k, [quality.RIGHT_ON_BAD] * k
+
+    def post(v):
+        g, b = prior, 1 - prior
+        for i, x in enumerate(v):
+            g *= {1: good[i], -1: 1 - good[i], 0: 1}[x]
+            b *= {1: 1 - bad[i], -1: bad[i], 0: 1}[x]
+        return g / (g + b)
+
+    s = quality.STRENGTH
+    for _ in range(rounds):
+        p = [post(v) for v in votes]
+        of = lambda i, vote, w: sum(x for v, x in zip(votes, w, strict=True) if v[i] == vote)
+        rest = [1 - x for x in p]
+        prior = (sum(p) + s * quality.PRIOR) / (len(votes) + s)
+        good = [(of(i, 1, p) + s * quality.RIGHT_ON_GOOD) / (of(i, 1, p) + of(i, -1, p) + s) for i in range(k)]
+        bad = [(of(i, -1, rest) + s * quality.RIGHT_ON_BAD) / (of(i, 1, rest) + of(i, -1, rest) + s) for i in range(k)]
+    return [post(v) for v in votes]
+
+
+def test_quality_posterior_against_plain_em(spark):
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("abcdeist") for _ in range(r.randint(2, 8))) for _ in range(n)) + "."
+    texts = [prose(r.randint(15, 90)) for _ in range(120)]
+    texts += [prose(60).replace(" ", " ### ") for _ in range(15)] + [prose(10) + ("\n" + prose(3)) * 2 for _ in range(10)] + [(prose(12) + "\n") * 6 for _ in range(10)]
+    got = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    want = em([r.votes for r in got])
+    assert [r.quality for r in got] == pytest.approx(want, abs=1e-6)
+    assert [r.kept for r in got] == [not r.base_failed and q >= 0.5 for r, q in zip(got, want, strict=True)]
+    assert not any(got[i].kept for i in range(120, 135)) and len({round(r.quality, 3) for r in got}) > 3
+
+
+def test_a_wrong_rule_is_outvoted(spark):
+    """Two rules see a fault; a third goes off on a third of all documents, whatever they are like."""
+    r = random.Random(7)
+    votes = []
+    for _ in range(3000):
+        good = r.random() < 0.85
+        votes.append([*((1 if good else -1) if r.random() < 0.95 else 0 for _ in range(2)), -1 if r.random() < 0.33 else 1])
+    df = spark.createDataFrame([(v,) for v in votes], "votes array<int>")
+    params = quality.fit(df, 3)
+    alone = {tuple(x.votes): x.p for x in df.distinct().select("votes", quality.posterior("votes", params).alias("p")).collect()}
+    assert alone[1, 1, -1] > 0.9 and alone[-1, -1, 1] < 0.1  # not all must pass, and not any vote fails
+    assert [alone[tuple(v)] for v in votes[:50]] == pytest.approx(em(votes)[:50], abs=1e-6)
+
+
 def test_rates_learned_from_votes(spark):
     r = random.Random(7)
     votes = []
     for _ in range(3000):
         good = r.random() < 0.8
         votes.append(([(1 if good else -1) * (1 if r.random() < p else -1) if r.random() < 0.9 else 0 for p in (0.95, 0.9, 0.7)],))
-    p = quality.fit(spark.createDataFrame(votes, "votes array<int>"), 3, rounds=30, strength=5.0)
+    p = quality.fit(spark.createDataFrame(votes, "votes array<int>"), 3, strength=5.0)
     assert p["prior"] == pytest.approx(0.8, abs=0.08) and p["good"][0] > p["good"][2] and p["bad"][0] > p["bad"][2]
 
 
