@@ -416,6 +416,48 @@ def test_pii(spark):
     assert pii.digest(pii.detect(table.limit(0))).count() == 0
 
 
+KEY = "bc0d31ba76f17e56642e8751295a3fd50cd8e61f"
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        (f'a token = "{KEY}" here', ["secret"]),
+        (f"the commit {KEY} went in", []),  # opaque, but nothing says that it is a secret
+        (f"api key {KEY}", ["secret"]),
+        ("AKIA" + "Q2W3E4R5T6Y7U8I9", ["secret"]),
+        ("-----BEGIN RSA PRIVATE KEY-----", ["secret"]),
+        ("token = aaaaaaaaaaaaaaaaaaaaaaaa1", []),  # not mixed
+        ("password internationalization", []),
+        ("DNI 12345678Z", ["dni"]),
+        ("12345678Z", []),
+        ("DNI 12345678A", []),
+        ("NIR 1 84 12 76 451 089 46", ["nir"]),
+        ("NIR 1 84 12 76 451 089 47", []),
+        ("number 123-45-6789", []),
+        ("SSN 123-45-6789", ["ssn"]),
+        ("GB82 WEST 1234 5698 7654 32", ["iban"]),
+        ("x" * 20000 + "1", []),
+    ],
+)
+def test_added_spans_need_checks_or_context(text, kinds):
+    found = [x for x in pii.find_spans(text) if x[1] >= len(pii.BASE)]
+    assert [pii.KINDS[x[1]] for x in found] == kinds and all(pii.LEAST <= x[3] <= 1 for x in found)
+
+
+def test_pii_on_documents(spark):
+    """The base by plain regular expressions, and tokens that stand in quotes after their name."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    for r in pii.digest(pii.detect(table)).collect():
+        t = texts[r.doc_id]
+        want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base(t))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        keys = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+        spans = list(filter(None, r.spans.split(",")))
+        assert keys == {s for s in spans if s.startswith("secret")} and r.n_spans == len(spans) == len(list(filter(None, r.scores.split(","))))
+
+
 def language_rows(n=400):
     r = random.Random(4)
     words = {"x": ["the", "thing", "with", "shall", "north"], "y": ["der", "und", "schön", "nicht", "zwölf"], "z": ["que", "los", "niño", "para", "año"]}
