@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of benchmark text that one pass over the documents takes; more are taken in blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in a block. A block holds numbers for words and windows (about 25 bytes a word)
+#: and its vocabulary (about 120 bytes a distinct word): 100 MB at worst, if no word of it occurs twice. The
+#: driver and each worker hold one block at a time.
+BLOCK_BYTES = 4 << 20
+#: Windows searched at a time.
+SEARCH = 1 << 16
 #: Tokens of a training shard, the unit that is indexed at a time within a task.
 SHARD_TOKENS = 1 << 19
 #: One in so many positions keeps its place in the text.
@@ -63,7 +67,7 @@ class FMIndex:
     def __init__(self, tokens: np.ndarray, symbols: int):
         tokens = np.concatenate((tokens, [0])).astype(np.int64)
         n = len(tokens)
-        sa = rank_doubling(tokens, WINDOW + 1)
+        sa = rank_doubling(tokens)
         self.bwt = WaveletTree(tokens[sa - 1], max(1, int(symbols).bit_length()))
         self.first = np.concatenate(([0], np.cumsum(np.bincount(tokens, minlength=symbols + 2))))
         # the first token of a run is sampled too: no step leads over a separator
@@ -101,7 +105,7 @@ class FMIndex:
         return out % self.n
 
 
-def rank_doubling(tokens: np.ndarray, enough: int) -> np.ndarray:
+def rank_doubling(tokens: np.ndarray) -> np.ndarray:
     """Suffix array; each separator gets a rank of its own, so that order is settled at the next one.
 
     Runs between separators decide the number of rounds.
@@ -126,26 +130,40 @@ def rank_doubling(tokens: np.ndarray, enough: int) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of some benchmark items, by length, over the numbers of their words."""
+    """The distinct windows of some benchmark items: the numbers of all words end to end, and of each length
+    the place of every window in them and the items that have it."""
 
     def __init__(self, items: list[tuple[object, bytes | None]]):
         self.vocabulary: dict[bytes, int] = {}
         number: dict[str, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        tokens: list[np.ndarray] = []
+        owners: dict[int, dict[bytes, list[int]]] = {}  # by length: a place, then items
+        size = 0
         for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or b"")]
-            if words:
-                own = number.setdefault(str(item), len(number))
-                k = min(WINDOW, len(words))
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or b"")], np.int32)
+            if len(words):
+                own, k, raw = number.setdefault(str(item), len(number)), min(WINDOW, len(words)), words.tobytes()
+                of_length = owners.setdefault(k, {})
                 for i in range(len(words) - k + 1):
-                    owners.setdefault(tuple(words[i : i + k]), set()).add(own)
+                    found = of_length.setdefault(raw[4 * i : 4 * (i + k)], [size + i])
+                    if own not in found[1:]:
+                        found.append(own)
+                tokens.append(words)
+                size += len(words)
         self.items = list(number)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for window in owners:
-            by_length.setdefault(len(window), []).append(window)
-        self.patterns = {k: np.array(v, np.int64) for k, v in by_length.items()}
-        self.owners = {k: [sorted(owners[w]) for w in v] for k, v in by_length.items()}
-        self.shortest = min(by_length, default=0)
+        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+        self.starts = {k: np.array([v[0] for v in found.values()], np.int32) for k, found in owners.items()}
+        self.ends = {k: np.cumsum([len(v) - 1 for v in found.values()], dtype=np.int32) for k, found in owners.items()}
+        self.owned = {k: np.array([x for v in found.values() for x in v[1:]], np.int32) for k, found in owners.items()}
+        self.shortest = min(owners, default=0)
+
+    def patterns(self, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Windows of ``k`` words, some at a time, with the number of the first."""
+        for a in range(0, len(self.starts[k]), SEARCH):
+            yield a, self.tokens[self.starts[k][a : a + SEARCH, None] + np.arange(k)].astype(np.int64)
+
+    def owners(self, k: int, window: int) -> list[int]:
+        return self.owned[k][self.ends[k][window - 1] if window else 0 : self.ends[k][window]].tolist()
 
 
 def runs(ids: np.ndarray, shortest: int) -> list[tuple[int, int]]:
@@ -173,16 +191,18 @@ def find(texts: list[bytes | None], windows: Windows) -> tuple[list[int], list[l
         if places:
             index = FMIndex(np.concatenate(tokens), len(windows.vocabulary))
             at = np.array([p[0] for p in places])
-            for k, patterns in windows.patterns.items():
-                low, high = index.search(patterns)
-                for w in np.flatnonzero(high > low).tolist():
-                    # a very common window is located in parts
-                    for a in range(int(low[w]), int(high[w]), 1 << 16):
-                        where = index.locate(np.arange(a, min(a + (1 << 16), int(high[w]))))
-                        for p, run in zip(where.tolist(), (np.searchsorted(at, where, "right") - 1).tolist(), strict=True):
-                            start, text, word = places[run]
-                            spans[text].append((word + p - start, word + p - start + k))
-                            found[text].update(windows.owners[k][w])
+            for k in windows.starts:
+                for before, patterns in windows.patterns(k):
+                    low, high = index.search(patterns)
+                    for w in np.flatnonzero(high > low).tolist():
+                        owners = windows.owners(k, before + w)
+                        # a very common window is located in parts
+                        for a in range(int(low[w]), int(high[w]), 1 << 16):
+                            where = index.locate(np.arange(a, min(a + (1 << 16), int(high[w]))))
+                            for p, run in zip(where.tolist(), (np.searchsorted(at, where, "right") - 1).tolist(), strict=True):
+                                start, text, word = places[run]
+                                spans[text].append((word + p - start, word + p - start + k))
+                                found[text].update(owners)
         tokens, places, size = [], [], 0
 
     get = windows.vocabulary.get
@@ -221,13 +241,21 @@ KIND = pa.struct(
 )
 
 
-def judge(shared: Broadcast) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+def judge(blocks: list[Broadcast]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        windows = shared.value
         for texts in batches:
-            n, spans, found = find(texts.cast(pa.binary()).to_pylist(), windows)
-            rows = zip(n, spans, found, strict=True)
-            yield pa.array([{"n_words": a, "spans": [{"s": x, "e": y} for x, y in b], "items": [windows.items[k] for k in sorted(c)]} for a, b, c in rows], KIND)
+            raw = texts.cast(pa.binary()).to_pylist()
+            n, spans, items = [len(words_of(t)) if t else 0 for t in raw], [[] for _ in raw], [set() for _ in raw]
+            for block in blocks:
+                windows = block.value
+                for own, names, more, found in zip(spans, items, *find(raw, windows)[1:], strict=True):
+                    own += more
+                    names.update(windows.items[k] for k in found)
+                del windows
+                if len(blocks) > 1:  # else all blocks would stay in the worker; a later batch reads it again
+                    vars(block).pop("_value", None)
+            rows = zip(n, spans, items, strict=True)
+            yield pa.array([{"n_words": a, "spans": [{"s": x, "e": y} for x, y in merged(b)], "items": sorted(c)} for a, b, c in rows], KIND)
 
     return hits
 
@@ -235,30 +263,19 @@ def judge(shared: Broadcast) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array
 def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "hits") -> DataFrame:
     """``docs`` with the struct ``out``: n_words, spans (merged, of hit words) and items found.
 
-    The benchmark is taken in blocks of about BLOCK_BYTES, each read to the driver and sent to all
-    tasks; a pass adds its spans to those of the passes before. One item is never divided. Rows of one
-    item_id are one item with the windows of all. A null item_id is named ``null``; null or wordless
+    The benchmark is taken in blocks of about BLOCK_BYTES, each read to the driver and sent to all tasks,
+    which search one after the other in one pass over the documents. One item is never divided. Rows of
+    one item_id are one item with the windows of all. A null item_id is named ``null``; null or wordless
     texts have no window. No shuffle: each row is judged where it is, in shards of SHARD_TOKENS.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
+    shared, blocks = [], -(-size // BLOCK_BYTES) or 1
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(
-            Windows([(r.i if r.i is not None else "null", r.t.encode() if r.t is not None else None) for r in rows])
-        )
-
-        docs = docs.withColumn(out if block == 0 else "__more", F.arrow_udf(judge(shared), RESULT)(F.col(text)))
-        if block:
-            both = F.struct(
-                F.col(f"{out}.n_words").alias("n_words"),
-                F.concat(f"{out}.spans", "__more.spans").alias("spans"),
-                F.array_union(f"{out}.items", "__more.items").alias("items"),
-            )
-            docs = docs.withColumn(out, both).drop("__more")
-    return docs
+        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).toLocalIterator()
+        shared.append(spark.sparkContext.broadcast(Windows([(r.i if r.i is not None else "null", r.t.encode() if r.t is not None else None) for r in rows])))
+    return docs.withColumn(out, F.arrow_udf(judge(shared), RESULT)(F.col(text)))
 
 
 def n_hit(hits: str = "hits"):

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from loomtext.llm.common import NULL_ID, materialize, ranked
 
-#: A group of more rows than this is numbered in buckets instead of in one task.
-LARGE_GROUP = 4096
+#: Parts in which the rows of a group are numbered.
+PARTS = 64
 
 
 def _loads(cells: DataFrame, shards: int) -> list[int]:
@@ -34,9 +34,11 @@ def _flows(demand: dict[tuple[int, int], int], room: list[int]) -> list[list[int
 
 
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame:
-    """Moves (group, shard) cells towards the shard where most of their group is.
+    """Moves documents towards the shard where most of their neighbours are.
 
-    ``cells``: g1, g2, shard, n (rows of the group in the shard). In each round every cell away from
+    ``cells``: g1, g2, shard, n (rows of the group in the shard). The neighbours of a document are all
+    others of its group, so a group's cells are the labels around each of its documents, counted, and
+    documents of one cell are alike: the state is a row for each cell instead of one for each document. In each round every cell away from
     its group's largest cell (ties by a hash) asks to move there; in every second round only shards
     with room count, so that groups whose best shard stays full find another. Demands between shards
     are summed (shards x shards numbers), exchanges and rooms give the rows that may move, and requests
@@ -80,11 +82,24 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame
     return cells
 
 
+def dealt(base: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
+    """The start: each document in the shard that a hash of its id names, whatever its text; linked ones
+    counted by group and shard."""
+    first = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int")
+    return base.join(groups, ["g1", "g2"]).groupBy("g1", "g2", first.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cut_links(cells: DataFrame) -> int:
+    """Links between documents of different shards, of cells of linked groups."""
+    each = cells.groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
+    return each.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0)).cast("long").alias("c")).first()["c"]
+
+
 def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, __h``: a row for each row of ``docs``.
 
     Law ``rows``: counts of shards differ by one at most. Links: documents of equal text (nulls are
-    equal to each other). Linked rows start where a hash deals them, under quotas, and move by
+    equal to each other). Rows start where a hash of their id deals them, and linked ones move by
     :func:`propagate`; rows without links then fill the shards exactly, in ranges of a hashed order.
     ``slot`` numbers the rows of a shard from 0 without gaps. ``grown_shard`` is null (law ``key`` only).
 
@@ -106,13 +121,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 8, doc_id: str = "doc_
     groups = materialize(groups, "groups")
     totals = base.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     quotas = [totals // shards + (s < totals % shards) for s in range(shards)]
-    # a start under quotas: each group is spread evenly, its remainder from a hashed shard on
-    home = F.pmod(F.xxhash64("g1", "g2"), F.lit(shards)).cast("int")
-    dealt = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
-        "g1", "g2", "shard",
-        (F.floor(F.col("__n") / shards) + F.when(F.pmod(F.col("shard") - home, F.lit(shards)) < F.col("__n") % shards, 1).otherwise(0)).cast("long").alias("n"),
-    ).where("n > 0")
-    cells = propagate(materialize(dealt, "cells"), quotas, rounds)
+    cells = propagate(materialize(dealt(base, groups, shards), "cells"), quotas, rounds)
     return _placed(base, groups, cells, quotas)
 
 
@@ -121,8 +130,7 @@ def _placed(base: DataFrame, groups: DataFrame, cells: DataFrame, quotas: list[i
     shards = len(quotas)
     loads = _loads(cells, shards)
     linked = base.join(groups, ["g1", "g2"])
-    large = F.col("__n") > LARGE_GROUP
-    linked = linked.withColumn("__salt", F.when(large, F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0).cast("int"))
+    linked = linked.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
     along = Window.partitionBy("g1", "g2").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = cells.withColumn("__end", F.sum("n").over(along)).select(
         "g1", "g2", F.struct(F.col("__end").alias("e"), F.col("shard").alias("s")).alias("__x")

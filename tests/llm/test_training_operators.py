@@ -326,6 +326,26 @@ def test_sharding_of_groups_only(spark, n):
         assert sum(len(p) > 1 for p in parts.values()) < n / 2  # most pairs stay together, with no free row to make room
 
 
+def test_propagation_lessens_cut_links(spark):
+    """Groups of several sizes, one larger than a shard, among rows of their own: links cut before and after."""
+    r = random.Random(3)
+    texts = ["hot"] * 300 + [f"group {i}" for i in range(60) for _ in range(r.randint(2, 9))] + [f"own {i}" for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sharding.shard(df).collect()
+    check_law(got)
+    links = lambda label: sum(n * (n - 1) // 2 for n in Counter(label).values())
+    pairs = links(texts)
+    after = pairs - links((texts[x.doc_id], x.shard) for x in got)
+    base = df.selectExpr("doc_id", "xxhash64(text) as g1", "xxhash64(text) as g2")
+    start = sharding.dealt(base, base.groupBy("g1", "g2").count().where("count > 1").drop("count"), 8)
+    before = sharding.cut_links(start)
+    assert before > 0.8 * pairs and start.agg(F.sum("n")).first()[0] == len(texts) - 500
+    small = [{x.shard for x in got if texts[x.doc_id] == f"group {i}"} for i in range(60)]
+    assert sum(len(x) > 1 for x in small) <= 3
+    quota = len(texts) // 8 + 1
+    assert after <= pairs - links(["hot"] * quota) - 0.9 * links(t for t in texts if t[0] == "g")
+
+
 def test_hot_group_fills_shards(spark):
     data = [(i, "copy") for i in range(100)] + [(100 + i, f"own {i}") for i in range(100)]
     got = sharding.shard(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
