@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,35 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def any_names(*roles: str, replaces: tuple[str, ...] = ()) -> Callable:
+    """For a function on documents whose parameters ``roles`` name columns: their names, whatever they are,
+    cannot clash with its own. Columns are numbered on the way in and named back on the way out; those in
+    ``replaces`` make way for the ones it adds."""
+
+    def wrap(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            call = inspect.signature(f).bind(docs, *args, **options)
+            call.apply_defaults()
+            used = {role: call.arguments[role] for role in roles}
+            docs = docs.drop(*[c for c in replaces if c not in used.values()])
+            numbered = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+            call.arguments |= {role: numbered[c] for role, c in used.items()} | {next(iter(call.arguments)): docs.toDF(*numbered.values())}
+            out = f(*call.args, **call.kwargs)
+            return out.toDF(*docs.columns, *out.columns[len(docs.columns) :])
+
+        return run
+
+    return wrap
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer if ``docs`` has such a column."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``__id`` (never null) and ``__h`` (hash of the text).
 

@@ -11,13 +11,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import pieces, text_bytes
+from loomtext.llm.common import discard, materialize, pieces, text_bytes
 
 #: Bits of a hashed n-gram: the model has 2 ** BITS numbers for each language.
 BITS = 15
-#: Most languages of one model, which is sent to every task (8 MB for 32 languages).
-MAX_LANGUAGES = 1000
-#: Bytes of text that are turned into arrays at a time.
+#: Most languages of one model, which is sent to every task: 33 MB.
+MAX_LANGUAGES = 256
+#: Bytes of text that are turned into arrays at a time; fewer where there are more than eight languages, since
+#: each n-gram has a number for each. One document has 2 ** BITS n-grams at most.
 CHUNK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 
@@ -90,20 +91,23 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", add: float
 
     known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     rows = known.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    per_lang = rows.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("grams")).orderBy("lang")
-    table = per_lang.limit(MAX_LANGUAGES + 1).collect()
-    if len(table) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    log_p = np.zeros((len(table), 1 << BITS), np.float32)
-    for k, row in enumerate(table):
+    per_lang = rows.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("grams"))
+    per_lang = materialize(per_lang, "languages")
+    if (most := per_lang.count()) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: {most}")
+    names, rates = [], []
+    for row in per_lang.orderBy("lang").toLocalIterator():  # one language at a time
         n = np.full(1 << BITS, add)
         n[[g.gram for g in row.grams]] += [g.n for g in row.grams]
-        log_p[k] = np.log(n / n.sum())
-    return Model(tuple(r.lang for r in table), log_p)
+        names.append(row.lang)
+        rates.append(np.log(n / n.sum()).astype(np.float32))
+    discard(per_lang)
+    return Model(tuple(names), np.array(rates, np.float32).reshape(len(names), 1 << BITS))
 
 
-def mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, log_p: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Language proportions of each document, and its best language.
+def mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, log_p: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language proportions of each document, its best language, and what the mixture gains for each n-gram,
+    in log likelihood, over n-grams drawn evenly (0 without any).
 
     Expectation-maximisation over all languages gives proportions; those under one twentieth leave.
     Of the sets {first}, {first, second}, ... by proportion, the one with the highest likelihood less
@@ -116,7 +120,7 @@ def mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, log_p:
     full = np.flatnonzero(ends > starts)
     pi = np.full((docs, langs), 1.0 / max(langs, 1))
     if not len(full) or not langs:
-        return pi, np.zeros(docs, np.int64)
+        return pi, np.zeros(docs, np.int64), np.zeros(docs)
     total = np.add.reduceat(n, starts[full]).astype(float)
 
     def em(pi: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,16 +151,19 @@ def mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, log_p:
         better = score > best_score
         best = np.where(better[:, None], fitted, best)
         best_score = np.where(better, score, best_score)
-    return best, best.argmax(1)
+    gain = np.zeros(docs)
+    gain[full] = em(best, 0)[1][full] / total + BITS * np.log(2)
+    return best, best.argmax(1), gain
 
 
 def language(text: Column, model: Model) -> Column:
-    """Struct of lang, score (its proportion) and languages (map of the chosen set).
+    """Struct of lang, score (its proportion), languages (map of the chosen set) and gain: how much better
+    than n-grams drawn evenly they explain an n-gram; below 0, the text is in none of them.
 
-    Null, or no letter: lang ``und``, score 0, no languages. Whole texts; very long ones in one piece.
+    Null, or no letter: lang ``und``, score 0, no languages, gain 0. Whole texts; very long ones in one piece.
     """
     shared = SparkSession.active().sparkContext.broadcast(model)
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64()))])
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64())), ("gain", pa.float64())])
 
     def identify_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, log_p = shared.value.languages, shared.value.log_p
@@ -164,19 +171,19 @@ def language(text: Column, model: Model) -> Column:
             data, offsets = text_bytes(texts)
             has = [t is not None and LETTER.search(t) is not None for t in texts.to_pylist()]
             out: list[dict] = []
-            for i, j in pieces(offsets, CHUNK):
+            for i, j in pieces(offsets, CHUNK * 8 // max(8, len(names))):
                 part = offsets[i : j + 1]
                 doc, gram, n = counts(data[part[0] : part[-1]], part - part[0])
-                pi, best = mixtures(doc, gram, n, j - i, log_p)
+                pi, best, gain = mixtures(doc, gram, n, j - i, log_p)
                 for k in range(j - i):
                     if has[i + k] and names:
                         chosen = {names[m]: float(pi[k, m]) for m in np.flatnonzero(pi[k] > 1e-6)}
-                        out.append({"lang": names[best[k]], "score": float(min(1.0, pi[k, best[k]])), "languages": list(chosen.items())})
+                        out.append({"lang": names[best[k]], "score": float(min(1.0, pi[k, best[k]])), "languages": list(chosen.items()), "gain": float(gain[k])})
                     else:
-                        out.append({"lang": "und", "score": 0.0, "languages": []})
+                        out.append({"lang": "und", "score": 0.0, "languages": [], "gain": 0.0})
             yield pa.array(out, kind)
 
-    return F.arrow_udf(identify_batches, "struct<lang string, score double, languages map<string, double>>")(text)
+    return F.arrow_udf(identify_batches, "struct<lang string, score double, languages map<string, double>, gain double>")(text)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:

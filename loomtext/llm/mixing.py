@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.common import SPACE_CHARS, materialize, trimmed
+from loomtext.llm.common import SPACE_CHARS, any_names, materialize, trimmed
 
 #: Hex digits of the seeded order that make a bucket: 4096 buckets for each source.
 BUCKET_DIGITS = 3
@@ -129,14 +129,15 @@ def mix(
     return plain.unionByName(cut)
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+@any_names("doc_id", "text", "source")
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: a document taken k times is k rows.
 
     The one document of a source that is taken in part is a row with its first words, joined by one
     space. Rows that are alike in id and text take the mean of their shares, rounded up for the first.
     """
     cols = docs.columns
-    shares = mix(docs, doc_id=doc_id, text=text, **options)
+    shares = mix(docs, doc_id=doc_id, text=text, source=source, **options)
     shares = shares.groupBy("doc_id", "__h").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count(F.lit(1)).alias("__rows"))
     key = F.xxhash64(F.col(text))
     shares = shares.select(F.col("doc_id").alias("__i"), F.col("__h").alias("__j"), "__taken", "__size", "__rows").where("__taken > 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.common import NULL_ID, materialize, ranked
+from loomtext.llm.common import NULL_ID, any_names, materialize, ranked
 
 #: Parts in which the rows of a group are numbered.
 PARTS = 64
@@ -170,6 +170,7 @@ def _placed(base: DataFrame, groups: DataFrame, cells: DataFrame, quotas: list[i
     )
 
 
+@any_names("doc_id", "text", replaces=("shard", "slot"))
 def sharded_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (a column of that name is replaced)."""
     each = Window.partitionBy("__id", "__h")
@@ -179,5 +180,4 @@ def sharded_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     placed = placed.withColumn("__n", F.row_number().over(each.orderBy("__shard", "__slot")))
     keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__h": F.xxhash64(F.col(text))})
     keyed = keyed.withColumn("__n", F.row_number().over(each.orderBy(F.lit(0))))
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    return keyed.join(placed, ["__id", "__h", "__n"]).select(*columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    return keyed.join(placed, ["__id", "__h", "__n"]).select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import NULL_ID, materialize, row_key
+from loomtext.llm.common import NULL_ID, any_names, materialize, row_key
 from loomtext.llm.components import components
 
 #: Bits that may differ between linked fingerprints.
@@ -176,6 +176,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+@any_names("doc_id", "text")
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id (then text hash); of rows alike
     in both, one."""

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most bytes of rules that are broadcast; a longer list is refused.
-MAX_RULE_BYTES = 64 << 20
+#: Most nodes (labels and segments) of a trie, which is broadcast; a longer list is refused. A node takes some
+#: 500 bytes with its rule, so a trie 130 MB at most, in the driver and in each worker.
+MAX_NODES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,11 @@ class RuleTrie:
 
     def __init__(self, rules: Iterable[UrlRule]):
         self.root: dict = {}
+        nodes = 0
         for rule in rules:
+            nodes += rule.host.count(".") + rule.path.count("/") + 2
+            if nodes > MAX_NODES:
+                raise ValueError(f"rules need more than {MAX_NODES} nodes")
             node = self.root
             for label in reversed(rule.host.split(".")) if rule.host else ():
                 node = node.setdefault("hosts", {}).setdefault(label, {})
@@ -86,9 +91,6 @@ def filter_urls(pages: DataFrame, rules: Iterable[UrlRule], url: str = "url", ke
 
     ``default`` where no rule fits. The trie is sent to each task once; its size is checked.
     """
-    rules = list(rules)
-    if (size := sum(len(r.text.encode()) for r in rules)) > MAX_RULE_BYTES:
-        raise ValueError(f"{size} bytes of rules exceed {MAX_RULE_BYTES}")
     shared = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
     @F.arrow_udf("struct<rule string, verdict string>")
