@@ -101,11 +101,15 @@ def antithesis(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     return emit(df, "antithesis_repetition", 4, found)
 
 
+def sentence_lengths(parsed: DataFrame, profile: Profile = LATIN) -> tuple[DataFrame, Column]:
+    """Documents with enough sentences, their lengths in ``__n``, and how much these vary."""
+    df = keep(parsed, "__n", F.transform("sentences", lambda s: F.length(s["text"])))
+    return df.where(F.size("__n") >= profile.params.variance_sentences), pstdev(F.col("__n")) / mean(F.col("__n"))
+
+
 def sentence_variance(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     p = profile.params
-    df = keep(parsed, "__n", F.transform("sentences", lambda s: F.length(s["text"])))
-    df = df.where(F.size("__n") >= p.variance_sentences)
-    cv = pstdev(F.col("__n")) / mean(F.col("__n"))
+    df, cv = sentence_lengths(parsed, profile)
     excerpt = F.concat(F.lit("文数="), F.size("__n").cast("string"), F.lit(", 平均文長="), fixed(mean(F.col("__n")), 1), F.lit("字, 変動係数="), fixed(cv, 3))
     detail = F.lit(f"文長の変動係数が閾値({p.variance_cv})未満。リズムが均質でAI臭い可能性")
     return emit(df, "low_sentence_variance", 5, one_if(cv < p.variance_cv, finding(F.get("sentences", F.lit(0))["line"], excerpt, detail, "warn")))
@@ -129,13 +133,18 @@ def cleft_because(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     return emit(parsed, "english_syntax_cleft_because", 6, found)
 
 
-def paragraph_leads(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    p = profile.params
+def led_paragraphs(parsed: DataFrame, profile: Profile = LATIN) -> tuple[DataFrame, Column]:
+    """``__h``, the paragraphs that a conjunction leads, and their share."""
     words = F.array(*[F.lit(c) for c in profile.conjunctions])
     hits = F.transform("paragraphs", lambda x: F.struct(x["first"].alias("line"), strip(F.get(F.split(x["text"], "\n", 2), F.lit(0))).alias("text")))
     hits = F.transform(hits, lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), F.get(F.filter(words, lambda w: x["text"].startswith(w)), F.lit(0)).alias("word")))
     df = keep(parsed, "__h", F.filter(hits, lambda x: x["word"].isNotNull()))
-    ratio = F.size("__h") / F.greatest(F.size("paragraphs"), F.lit(1))
+    return df, F.size("__h") / F.greatest(F.size("paragraphs"), F.lit(1))
+
+
+def paragraph_leads(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    p = profile.params
+    df, ratio = led_paragraphs(parsed, profile)
     lines = F.transform("__h", lambda h: h["line"])
     df = keep(df, "__d", F.concat(F.lit("」で始まる（文書全体の段落頭接続詞率="), percent(ratio, 1), F.lit(f"、閾値{p.lead_ratio * 100:.0f}%以上で警告）。"), related_text(lines)))
     df = keep(df, "__r", capped(lines))
@@ -147,12 +156,17 @@ def paragraph_leads(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
     return emit(df, "paragraph_lead_conjunction", 7, found)
 
 
-def uniform_paragraphs(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    p = profile.params
+def paragraph_sizes(parsed: DataFrame, profile: Profile = LATIN) -> tuple[DataFrame, Column]:
+    """Documents with enough paragraphs, sentences of each in ``__n``, and how much these vary."""
     df = keep(parsed, "__n", F.transform("paragraphs", lambda x: piece_count(x["text"], profile)))
-    df = df.where(F.size("__n") >= p.uniform_paragraphs)
     m = mean(F.col("__n"))
     cv = F.when(m == 0, 0.0).otherwise(pstdev(F.col("__n")) / F.when(m != 0, m))
+    return df.where(F.size("__n") >= profile.params.uniform_paragraphs), cv
+
+
+def uniform_paragraphs(parsed: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    p = profile.params
+    df, cv = paragraph_sizes(parsed, profile)
     excerpt = F.concat(F.lit("段落数="), F.size("__n").cast("string"), F.lit(", 各段落の文数="), int_list(F.col("__n")))
     detail = F.concat(F.lit("段落あたり文数の変動係数="), fixed(cv, 3), F.lit(f"（閾値{p.uniform_cv}未満）。どの段落もほぼ同じ文数=定型段落（例: 3文段落の量産）の疑い"))
     return emit(df, "uniform_paragraph_structure", 7, one_if(cv < p.uniform_cv, finding(F.lit(1), excerpt, detail, "info", seq=F.lit(1))))
@@ -280,15 +294,21 @@ def leads(tokenized: DataFrame, profile: Profile = LATIN) -> Column:
     ))
 
 
-def repeated_leads(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
-    """Sentences of a document that begin with the same two tokens, where enough do: leads in the order
-    in which they are first seen, then sentences. Sorted by lead, so that equal ones are neighbours."""
-    p = profile.params
+def lead_groups(tokenized: DataFrame, profile: Profile = LATIN) -> tuple[DataFrame, Column]:
+    """(first, all): the sentences that begin with the same two tokens, for each such beginning. Sorted by
+    lead, so that equal ones are neighbours."""
     rows = F.transform(leads(tokenized, profile), lambda x, i: F.struct(x["lead"].alias("lead"), i.alias("i"), x["line"].alias("line"), x["raw"].alias("raw"), x["tech"].alias("tech")))
     df = keep(tokenized, "__w", F.array_sort(rows))
     edges = F.transform("__w", lambda x, k: F.when((k == 0) | (F.get("__w", k - 1)["lead"] != x["lead"]), k))
     df = keep(df, "__s", F.filter(edges, lambda k: k.isNotNull()))
-    groups = F.transform("__s", lambda k, j: F.struct(F.get("__w", k)["i"].alias("first"), F.slice("__w", k + 1, F.coalesce(F.get("__s", j + 1), F.size("__w")) - k).alias("all")))
+    return df, F.transform("__s", lambda k, j: F.struct(F.get("__w", k)["i"].alias("first"), F.slice("__w", k + 1, F.coalesce(F.get("__s", j + 1), F.size("__w")) - k).alias("all")))
+
+
+def repeated_leads(tokenized: DataFrame, profile: Profile = LATIN) -> DataFrame:
+    """Sentences of a document that begin with the same two tokens, where enough do: leads in the order
+    in which they are first seen, then sentences."""
+    p = profile.params
+    df, groups = lead_groups(tokenized, profile)
     df = keep(df, "__g", F.array_sort(F.filter(groups, lambda g: F.size(g["all"]) >= p.repeated_lead)))
     lines = lambda g: F.transform(g["all"], lambda x: x["line"])
     df = keep(df, "__h", F.transform("__g", lambda g: F.struct(g["all"].alias("all"), F.size(g["all"]).cast("string").alias("n"), related_text(lines(g)).alias("text"), capped(lines(g)).alias("related"))))

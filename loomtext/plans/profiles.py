@@ -115,6 +115,21 @@ GENRES = {
 #: Adjacent similarity range at or under which a text counts as flat.
 SEMANTIC_RANGE = {None: 0.16122889518737793, "essay": 0.15813499689102173, "tech": 0.14261949062347412, "business": 0.15655699338912964}
 SEMANTIC_REPETITION_MAX, SEMANTIC_JUMP_MIN = 0.9322158694267273, 0.765757143497467
+#: Threshold sweeps: parameter, how a document's measure fires against it, first and last value, step.
+SWEEPS = {
+    "low_burstiness": ("burst", "<", -0.9, -0.2, 0.02),
+    "high_length_autocorrelation": ("autocorr", ">", 0.1, 0.95, 0.05),
+    "low_sentence_variance": ("variance_cv", "<", 0.05, 0.6, 0.02),
+    "nominal_ending": ("nominal_ratio", "<=", 0.05, 0.6, 0.02),
+    "paragraph_lead_conjunction": ("lead_ratio", ">=", 0.05, 0.7, 0.02),
+    "uniform_paragraph_structure": ("uniform_cv", "<", 0.02, 0.5, 0.02),
+    "antithesis_repetition": ("antithesis_hits", ">=", 1, 8, 1),
+    "repeated_sentence_lead": ("repeated_lead", ">=", 1, 8, 1),
+    "repeated_syntax_template": ("template_ratio", ">=", 0.1, 0.9, 0.05),
+    "low_lexical_diversity_ttr": ("ttr", "<", 0.2, 0.7, 0.02),
+    "low_lexical_diversity_mtld": ("mtld", "<", 10, 90, 2),
+    "low_specificity": ("specificity_score", "<", -0.3, 0.6, 0.02),
+}
 # End of the fixed values.
 
 

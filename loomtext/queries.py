@@ -277,6 +277,16 @@ def sweep_recommend(spark, sf_dir):
     return calibrate.recommend(_curve(spark, sf_dir), most_fp=0.5)
 
 
+def sweep_curves(spark, sf_dir):
+    """All twelve sweeps; paragraphs need the doubled line feeds."""
+    t = lint.prepared(spaced(spark, sf_dir), LATIN).persist()
+    return calibrate.sweeps(calibrate.metrics(t, LATIN), _sides(spark, sf_dir).select("doc_id", "side"))
+
+
+def sweep_recommendations(spark, sf_dir):
+    return calibrate.recommend(sweep_curves(spark, sf_dir), by=("detector",))
+
+
 def naturalness_score(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return documents.naturalness(lint.forbidden_phrases(parsed(spark, sf_dir), LATIN), docs).select("doc_id", F.col("chars").cast("bigint").alias("chars"), "score", "band")
@@ -294,6 +304,7 @@ _OWN = (
     bold_density, burstiness, repeated_lead, syntax_template, lexical_diversity, mtld, nominal_ratio, specificity, low_specificity, rhythm_findings, low_ttr, sentence_too_long, long_run, no_chain,
     reading_load, findings_union, genre_filter, baseline_diff, outline, heading_stats, terms, semantic_metrics, semantic_findings, fire_matrix, length_bins,
     sweep_curve, sweep_recommend, naturalness_score, fire_matrix_whole, naturalness_score_whole,
+    sweep_curves, sweep_recommendations,
 )
 
 
