@@ -30,6 +30,11 @@ def rounded(x: Column, digits: int) -> Column:
     return fixed(x, digits).cast("double")
 
 
+def finite(x: Column) -> Column:
+    """Null for what JSON has no number for: no number, and both infinities."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
 def plain(x: Column) -> Column:
     """Shortest text of a double, with an exponent only under -4 or from 16 on."""
     s = x.cast("string")
