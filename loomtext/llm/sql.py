@@ -71,5 +71,21 @@ with dw as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'
   from words left join gone using (doc_id, j) group by doc_id
 )
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256 from dw left join kept using (doc_id)
+""",
+    "op3_suffix_array": r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents
+), pos as (select doc_id, i, md5(b[i:i + 399]) as g from (select doc_id, b, unnest(range(1, octet_length(b) - 398)) as i from d)
+), twice as (select g from pos group by g having count(*) > 1
+), hit as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as gap from pos where g in (select g from twice)
+), runs as (select doc_id, i, count(*) filter (gap is null or gap > 400) over (partition by doc_id order by i) as r from hit
+), spans as (select doc_id, r, min(i) as s, max(i) + 400 as e from runs group by doc_id, r
+), cut as (select doc_id, list(s order by s) as ss, list(e order by s) as es, sum(e - s)::bigint as n_removed from spans group by doc_id
+), kept as (
+  select doc_id, n_removed, len(ss) as n_spans, octet_length(b) as n,
+    array_to_string(list_transform(range(1, len(ss) + 2), lambda k: hex(b[case when k = 1 then 1 else es[k - 1] end:case when k > len(ss) then octet_length(b) else ss[k] - 1 end])), '') as h
+  from d join cut using (doc_id)
+)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(coalesce(unhex(h), b)) as kept_sha256
+from d left join kept using (doc_id)
 """,
 }
