@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomtext.functions.text import WS
-from loomtext.operators.parse import LIST_ITEM, STRUCTURE
+from loomtext.operators.parse import HEADING, LIST_ITEM, QUOTE, STRUCTURE, TABLE
 from loomtext.plans.profiles import CATEGORIES, LATIN, SEMANTIC_JUMP_MIN, SEMANTIC_RANGE, SEMANTIC_REPETITION_MAX
 
 
@@ -24,6 +24,7 @@ LINES = f"""lines as (
   select doc_id, line, raw, case when regexp_matches(raw, {_q(STRUCTURE)}) then '' else raw end as masked from (
     select doc_id, unnest(generate_series(1, len(l)))::int as line, unnest(l) as raw
     from (select doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as l from documents where text <> '')))"""
+COMMENT = r"(?s)<!(?:-->|--->|--.*?(?:-->|\z))"
 SENT = LINES + f""", sent as (
   select doc_id, line, text, row_number() over (partition by doc_id order by line, pos)::int as sent_no from (
     select doc_id, line, pos, {_strip('p')} as text from (
@@ -97,6 +98,23 @@ c as (select doc_id, line, len(t)::int as words, len(list_filter(t, lambda x: re
   regexp_matches(text, {_q('|'.join(LATIN.examples))})::int as example, len(list_filter(t, lambda x: list_contains({_list(LATIN.abstract)}, x)))::int as abstract, length(text) as k, raw from w)
 select doc_id, line, words, proper, "numeric", example, abstract, proper / words * 1.0::double + "numeric" / words * 1.0::double + example * 0.1::double - abstract / words * 1.5::double as score, raw from c where k >= {P.specificity_chars} and words >= {P.specificity_words}"""
 
+# one direction of the diversity measure: a fold whose state is the run at hand
+RUN = "struct_pack(f := {0}, n := {1}, seen := {2})"
+
+
+def _factors(words: str) -> str:
+    full = "(len(case when list_contains(a.seen, x) then a.seen else list_append(a.seen, x) end) / (a.n + 1) <= 0.72)"
+    seen = "case when list_contains(a.seen, x) then a.seen else list_append(a.seen, x) end"
+    step = RUN.format(f"a.f + {full}::int", f"case when {full} then 0 else a.n + 1 end", f"case when {full} then []::varchar[] else {seen} end")
+    start = RUN.format("0::int", "0::int", "[]::varchar[]")
+    return f"list_reduce(list_transform({words}, lambda x: struct_pack(f := 0::int, n := 0::int, seen := [x])), lambda a, y: {step.replace('x)', 'y.seen[1])')}, {start})"
+
+
+def _one_way(a: str) -> str:
+    rest = f"case when {a}.n > 0 then (1 - len({a}.seen) / {a}.n) / (1 - 0.72::double) else 0 end"
+    return f"case when {a}.f + {rest} > 0 then len(t) / ({a}.f + {rest}) else len(t)::double end"
+
+
 SQL = {
     "lines": f"with {LINES} select doc_id, line, masked, raw from lines",
     "sentences": f"with {SENT} select doc_id, sent_no, line, text from sent",
@@ -180,4 +198,32 @@ count(*) filter (doc_id in (select doc_id from found)) as fired from sides group
     "naturalness_score": f"""with {LINES}, {FORBIDDEN}, l as (select doc_id, sum(case severity when 'critical' then 8.0::double when 'warn' then 4.0::double else 0.5::double end) as w from found group by doc_id),
 s as (select d.doc_id, length(text) as chars, case when length(text) >= 100 then greatest(20.0::double, 100 - coalesce(w, 0) * 1000 / greatest(length(text), 1000)) end as score from documents d left join l using (doc_id))
 select doc_id, chars, score, case when score >= 90 then 'A' when score >= 70 then 'B' when score >= 50 then 'C' when score is not null then 'D' end as band from s""",
+    "mtld": f"""select doc_id, ({_one_way('a')} + {_one_way('b')}) / 2 as mtld from (
+  select doc_id, t, {_factors('t')} as a, {_factors('list_reverse(t)')} as b from ({DIVERSITY.replace('select doc_id, chars,', 'select doc_id, t, chars,')}) where ttr is not null and tokens >= 20)""",
+    "no_chain": f"""with {SENT}, w as (select doc_id, sent_no, line, regexp_extract_all(text, {_q(TOKEN)}) as t from sent),
+h as (select doc_id, sent_no, line, t, unnest(list_filter(generate_series(1, len(t)), lambda i: t[i] = 'the')) as a from w),
+c as (select *, lead(a) over s as b, lead(a, 2) over s as c from h window s as (partition by doc_id, sent_no order by a)),
+f as (select *, row_number() over (partition by doc_id, sent_no order by a) as r from c
+  where b - a <= 3 and c - b <= 3 and len(list_filter(t[a:c], lambda x: not regexp_matches(x, {_q(WORD)}))) = 0)
+select doc_id, line, array_to_string(t[a:c], '') as excerpt from f where r = 1""",
+    # these tables have no code fences and no front matter
+    "mask_structure": f"""with m as (select page_id, regexp_extract_all(html, {_q(COMMENT)}) as ms, string_split_regex(html, {_q(COMMENT)}) as gs from pages where html <> ''),
+k as (select page_id, array_to_string(list_transform(generate_series(1, len(gs)), lambda i: gs[i] || case when i <= len(ms) then regexp_replace(ms[i], '[^\\n]', ' ', 'g') else '' end), '') as x from m),
+l as (select page_id, unnest(generate_series(1, len(l)))::int as line, unnest(l) as x from (select page_id, string_split(regexp_replace(x, '\\n$', ''), chr(10)) as l from k))
+select page_id, line, case when regexp_matches(x, {_q(STRUCTURE)}) then '' else x end as masked from l""",
+    "outline": f"""with r as (
+  select doc_id, unnest(generate_series(1, len(l)))::int as line, unnest(l) as x from (select doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) as l from documents where text <> '')
+), k as (
+  select *, case when not regexp_matches(x, {_q(f'[^{WS}]')}) then 'blank' when regexp_matches(x, {_q(HEADING)}) then 'heading' when regexp_matches(x, {_q(LIST_ITEM)}) then 'bullets'
+    when regexp_matches(x, {_q(QUOTE)}) then 'quote' when regexp_matches(x, {_q(TABLE)}) then 'table' when regexp_matches(x, {_q(f'^[{WS}]')}) then 'indented' else 'lead' end as own from r
+), e as (
+  select *, case when own <> 'indented' then own when last_value(nullif(own, 'indented') ignore nulls) over (partition by doc_id order by line) = 'bullets' then 'bullets' else 'lead' end as kind from k
+), g as (
+  select *, sum(turn::int) over (partition by doc_id order by line) as block from (select *, kind is distinct from lag(kind) over (partition by doc_id order by line) or kind = 'heading' as turn from e)
+), b as (select doc_id, min(line) as line, kind, arg_min(x, line) as x, count(*) filter (own = 'bullets') as items from g group by doc_id, block, kind
+), o as (
+  select doc_id, line, kind, case kind when 'bullets' then '(箇条書き ' || items || ' 項目)' when 'lead' then {_strip(f"regexp_extract(x, {_q(f'^([^{LATIN.delimiters}]*[{LATIN.delimiters}]?)')})")}
+    else {_strip(f"regexp_replace(regexp_replace(x, {_q(f'^[{WS}]*#{{1,6}}')}, ''), {_q(f'(^|[{WS}]+)#+[{WS}]*$')}, '')")} end as text from b where kind in ('bullets', 'lead', 'heading')
+)
+select doc_id, line, kind, text from o where text <> '' or kind = 'heading'""",
 }
