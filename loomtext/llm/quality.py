@@ -129,10 +129,11 @@ def with_votes(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 def posterior(votes: str, params: dict) -> Column:
     """P(good | votes) under rules that err independently; a rule that abstains says nothing."""
-    odds = F.log(F.lit(params["prior"] / (1 - params["prior"])))
-    for i, (a, b) in enumerate(zip(params["good"], params["bad"], strict=True)):
-        v = F.element_at(votes, i + 1)
-        odds += F.when(v == 1, F.lit(log(a / (1 - b)))).when(v == -1, F.lit(log((1 - a) / b))).otherwise(F.lit(0.0))
+    # weights stay inside array functions, so that code compiled for one round of the fit serves all rounds
+    weight = lambda a, b: F.struct(F.lit(log(a / (1 - b))).alias("up"), F.lit(log((1 - a) / b)).alias("down"))
+    weights = F.array(*[weight(a, b) for a, b in zip(params["good"], params["bad"], strict=True)])
+    said = F.zip_with(votes, weights, lambda v, w: F.when(v == 1, w["up"]).when(v == -1, w["down"]).otherwise(0.0))
+    odds = F.aggregate(said, F.lit(log(params["prior"] / (1 - params["prior"]))), lambda a, x: a + x)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -146,14 +147,13 @@ def fit(voted: DataFrame, n_rules: int, rounds: int = 30, strength: float = STRE
     """
     params = {"prior": PRIOR, "good": [RIGHT_ON_GOOD] * n_rules, "bad": [RIGHT_ON_BAD] * n_rules}
     patterns = materialize(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "votes")
+    sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
+    for i in range(n_rules):
+        v = F.element_at("votes", i + 1)
+        for name, vote, w in (("gg", 1, F.col("p")), ("gb", -1, F.col("p")), ("bg", 1, 1 - F.col("p")), ("bb", -1, 1 - F.col("p"))):
+            sums.append(F.sum(F.when(v == vote, F.col("n") * w).otherwise(0.0)).alias(f"{name}{i}"))
     for _ in range(rounds):
-        p = patterns.withColumn("p", posterior("votes", params))
-        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
-        for i in range(n_rules):
-            v = F.element_at("votes", i + 1)
-            for name, vote, w in (("gg", 1, F.col("p")), ("gb", -1, F.col("p")), ("bg", 1, 1 - F.col("p")), ("bb", -1, 1 - F.col("p"))):
-                sums.append(F.sum(F.when(v == vote, F.col("n") * w).otherwise(0.0)).alias(f"{name}{i}"))
-        s = p.agg(*sums).first()
+        s = patterns.withColumn("p", posterior("votes", params)).agg(*sums).first()
         if not s["all"]:
             break
         before, params = params, updated(s, n_rules, strength)
