@@ -192,7 +192,7 @@ def no_chain(spark, sf_dir):
 
 
 def reading_load(spark, sf_dir):
-    return morph.reading_load(tokens.with_morphemes(parsed(spark, sf_dir), LATIN), LATIN).select("doc_id", "line", "category", "excerpt")
+    return morph.reading_load(parsed(spark, sf_dir), LATIN).select("doc_id", "line", "category", "excerpt")
 
 
 def findings_union(spark, sf_dir):
