@@ -279,8 +279,7 @@ def sweep_recommend(spark, sf_dir):
 
 def sweep_curves(spark, sf_dir):
     """All twelve sweeps; paragraphs need the doubled line feeds."""
-    t = lint.prepared(spaced(spark, sf_dir), LATIN).persist()
-    return calibrate.sweeps(calibrate.metrics(t, LATIN), _sides(spark, sf_dir).select("doc_id", "side"))
+    return calibrate.sweeps(calibrate.metrics(spaced(spark, sf_dir), LATIN), _sides(spark, sf_dir).select("doc_id", "side"))
 
 
 def sweep_recommendations(spark, sf_dir):
