@@ -28,8 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near-duplicates: texts that share four
-    fifths of their five-word shingles, directly or through others."""
+    """Keeps the document with the smallest id of each class of near-duplicates: texts that op1's anchors
+    link (fingerprints within two bits) or that share four fifths of their five-word shingles, directly or
+    through others."""
     return neardup.representatives(docs)
 
 

@@ -1,4 +1,8 @@
-"""Near-duplicates by the similarity of their word shingles: MinHash bands propose, exact sets confirm."""
+"""Near-duplicates: texts that ``op1`` links by anchors, and those whose word shingles are alike.
+
+Fingerprints within two bits are linked as :mod:`simhash` links them. A similarity of 0.8 is some ten bits,
+which anchors do not cover; for such texts MinHash bands propose more pairs, and exact sets confirm them.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm import simhash
 from loomtext.llm.common import NULL_ID, any_names, materialize
 from loomtext.llm.components import components
 from loomtext.llm.simhash import shingle_hashes
@@ -92,8 +97,18 @@ def possible(r: Column, n: Column, s: Column, m: Column) -> Column:
     return F.least(r, s) * sum(SIMILAR) >= (n + m) * SIMILAR[0]
 
 
-def classes(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node, root`` of all keys linked to others. ``keys``: key, bands; ``texts``: key, text.
+def anchored(prints: DataFrame) -> DataFrame:
+    """Of each class of linked fingerprints, the smallest key beside each other one (a, b). ``prints``: key, fp."""
+    prints = materialize(prints.distinct(), "prints")
+    _, roots = simhash.classes(prints.select("fp").distinct())
+    placed = materialize(prints.join(roots, "fp", "left").select("key", F.coalesce("root", "fp").alias("root")), "anchored")
+    least = placed.groupBy("root").agg(F.min("key").alias("a"), F.max("key").alias("most")).where("a <> most").select("root", "a")
+    return placed.join(materialize(least, "least"), "root").where("a <> key").select("a", F.col("key").alias("b"))
+
+
+def classes(keys: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
+    """``node, root`` of all keys linked to others. ``keys``: key, bands; ``texts``: key, text; ``linked``:
+    pairs (a, b) that are linked as it is.
 
     In each band the key with the least share of shingles of its own is compared with the others, so a
     large class costs its size and not its square. Then, in bands whose keys are not all in one class,
@@ -111,7 +126,7 @@ def classes(keys: DataFrame, texts: DataFrame) -> DataFrame:
     bound = possible(F.col("r"), F.col("n"), F.col("s"), F.col("m"))
     first = members.join(least, "band").where((F.col("a") != F.col("key")) & bound)
     first = materialize(first.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct(), "first")
-    roots = materialize(components(similar(first, known)), "roots")
+    roots = materialize(components(similar(first, known).unionByName(linked)), "roots")
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", "r", F.coalesce("root", "key").alias("root"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
@@ -128,12 +143,13 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``docs`` with one row of each class of near-duplicates: that of the smallest doc_id (then text
     hash); of rows alike in both, one. Texts without a word are one class."""
     keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__h": F.xxhash64(F.col(text))})
-    sketch = F.arrow_udf(sketches, "struct<key bigint, bands array<bigint>>")
-    base = materialize(keyed.select("__id", "__h", sketch(F.col(text)).alias("s")).select("__id", "__h", "s.*"), "sketches")
+    sketch, sign = F.arrow_udf(sketches, "struct<key bigint, bands array<bigint>>"), F.arrow_udf(simhash.fingerprints_of, "bigint")
+    base = keyed.select("__id", "__h", sketch(F.col(text)).alias("s"), sign(F.col(text)).alias("fp"))
+    base = materialize(base.select("__id", "__h", "fp", "s.*"), "sketches")
     keys = materialize(base.groupBy("key").agg(F.min(F.struct("__id", "__h")).alias("k"), F.first("bands").alias("bands")), "keys")
     of_row = keys.select("key", F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h"))
     texts = keyed.select("__id", "__h", F.col(text).alias("text")).join(of_row, ["__id", "__h"]).dropDuplicates(["key"]).select("key", "text")
-    roots = classes(keys.select("key", "bands"), texts)
+    roots = classes(keys.select("key", "bands"), texts, anchored(base.select("key", "fp")))
     of = keys.join(roots.withColumnRenamed("node", "key"), "key", "left")
     first = of.groupBy(F.coalesce("root", "key").alias("class")).agg(F.min("k").alias("k"))
     kept = keyed.join(first.select(F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h")), ["__id", "__h"])

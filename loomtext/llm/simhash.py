@@ -146,6 +146,14 @@ def links(prints: DataFrame) -> DataFrame:
     return own.join(near.hint("shuffle_merge"), "anchor").where((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
+def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The linked pairs of the distinct fingerprints ``fp``, and ``fp, root`` of those with a link."""
+    # each row becomes some sixty: the number of tasks must not follow the few bytes before
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialize(links(prints.select("fp").repartition(tasks, "fp")), "pairs")
+    return pairs, components(pairs).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id, n_links, class, __id, __h``, a row for each row of ``docs``.
 
@@ -159,19 +167,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     base = materialize(base.select("doc_id", "__id", "__h", sign("text").alias("fp")), "prints")
     prints = materialize(base.groupBy("fp").agg(F.min("__id").alias("least")), "fps")
-    # each row becomes some sixty: the number of tasks must not follow the few bytes before
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialize(links(prints.select("fp").repartition(tasks, "fp")), "pairs")
+    pairs, roots = classes(prints)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(pairs)
-    known = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
+    known = prints.join(roots, "fp")
     smallest = known.groupBy("root").agg(F.min("least").alias("smallest"))
     of_root = known.select("fp", "root").join(smallest, "root").join(degree, "fp").select("fp", "root", "smallest", "n_links")
-    classes = prints.join(of_root, "fp", "left").select(
+    of_print = prints.join(of_root, "fp", "left").select(
         "fp", F.coalesce("smallest", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "fp").alias("class")
     )
     # written, so that AQE can split the join where a fingerprint is hot
-    return base.join(materialize(classes, "classes"), "fp").select(
+    return base.join(materialize(of_print, "classes"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "class", "__id", "__h"
     )
 

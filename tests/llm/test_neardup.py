@@ -61,3 +61,21 @@ def test_bands_follow_similarity():
         h = r.integers(0, 1 << 64, 120, dtype=np.uint64)
         shared += bool(set(neardup.bands(h[:108])) & set(neardup.bands(h[12:])))  # 96 of 120: similarity 0.8
     assert shared == 300
+
+
+def test_what_anchors_link_is_one_class(spark):
+    from loomtext.llm import simhash
+
+    rows = [(i, "row " * 300 + " ".join(f"{w}{i}" for w in "abcdefgh")) for i in range(5)]  # one fingerprint, few shingles shared
+    rows += [(10, " ".join(f"w{i}" for i in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {0, 10} and brute(rows) == [0, 1, 2, 3, 4, 10]
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 10]
+
+
+def test_links_of_both_kinds_join_in_one_class(spark):
+    tail = [f"t{i}" for i in range(30)]
+    a, b = "row " * 300 + " ".join(tail), "row " * 300 + " ".join(f"u{i}" for i in range(30))  # linked by anchors only
+    c = " ".join(["row"] * 4 + tail)  # linked to the first by shingles only
+    docs = spark.createDataFrame([(3, a), (2, b), (1, c)], "doc_id bigint, text string")
+    assert [x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
