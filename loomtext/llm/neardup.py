@@ -6,6 +6,7 @@ which anchors do not cover; for such texts MinHash bands propose more pairs, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -14,8 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm import simhash
-from loomtext.llm.common import NULL_ID, any_names, materialize
+from loomtext.llm import bloom, simhash
+from loomtext.llm.common import NULL_ID, any_names, discard, materialize
 from loomtext.llm.components import components
 from loomtext.llm.simhash import shingle_hashes
 
@@ -106,9 +107,9 @@ def anchored(prints: DataFrame) -> DataFrame:
     return placed.join(materialize(least, "least"), "root").where("a <> key").select("a", F.col("key").alias("b"))
 
 
-def classes(keys: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
-    """``node, root`` of all keys linked to others. ``keys``: key, bands; ``texts``: key, text; ``linked``:
-    pairs (a, b) that are linked as it is.
+def classes(keys: DataFrame, texts: Callable[[DataFrame], DataFrame], linked: DataFrame) -> DataFrame:
+    """``node, root`` of all keys linked to others. ``keys``: key, bands; ``texts``: key, text of the rows of
+    ``key`` it is given; ``linked``: pairs (a, b) that are linked as it is.
 
     In each band the key with the least share of shingles of its own is compared with the others, so a
     large class costs its size and not its square. Then, in bands whose keys are not all in one class,
@@ -118,7 +119,7 @@ def classes(keys: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
     shared = materialize(rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band"), "shared")
     # written, here and below, so that AQE can split the joins where a band is hot
     members = materialize(rows.join(shared, "band").select("band", "key"), "members")
-    known = texts.join(members.select("key").distinct(), "key").select("key", F.arrow_udf(sets, "array<bigint>")("text").alias("set"))
+    known = texts(members.select("key").distinct()).select("key", F.arrow_udf(sets, "array<bigint>")("text").alias("set"))
     known = materialize(known, "sets")
     members = materialize(members.join(shareable(known), "key").select("band", "key", "n", "r"), "viable")
     least = members.groupBy("band").agg(F.min(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("own"), "key", "n", "r")).alias("l"), F.count(F.lit(1)).alias("k"))
@@ -138,6 +139,36 @@ def classes(keys: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar(pairs, known)))
 
 
+def place() -> Column:
+    """Of a row: equal for rows alike in ``__id`` and ``__h``, and hardly for others."""
+    return F.xxhash64("__id", "__h")
+
+
+def picked(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` that ``rows`` (``__id, __h`` and more, each once, written) has, with its columns.
+    Only they are moved, and a few others that pass its Bloom filter."""
+    inside = bloom.build(rows.select(place().alias("place")), rows.count())
+    return keyed.where(bloom.passes(inside, place())).join(rows, ["__id", "__h"])
+
+
+def one_each(keyed: DataFrame, all_rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Of ``keyed`` one row for each ``__id, __h`` of ``first`` (each once, written). ``all_rows`` has those of
+    every row.
+
+    What stands alone and stays is not moved: a Bloom filter has all the others, those that leave or are
+    repeated, and only what passes it and that of ``first`` is joined.
+    """
+    counts = all_rows.groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("n"))
+    other = counts.join(first.withColumn("stays", F.lit(True)), ["__id", "__h"], "left").where("stays is null or n > 1")
+    other = materialize(other.select(place().alias("place")).distinct(), "other")
+    n_other = other.count()
+    if not n_other:
+        return keyed
+    doubtful = bloom.passes(bloom.build(other, n_other), place())
+    discard(other)
+    return keyed.where(~doubtful).unionByName(picked(keyed.where(doubtful), first).dropDuplicates(["__id", "__h"]))
+
+
 @any_names("doc_id", "text")
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near-duplicates: that of the smallest doc_id (then text
@@ -147,10 +178,17 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = keyed.select("__id", "__h", sketch(F.col(text)).alias("s"), sign(F.col(text)).alias("fp"))
     base = materialize(base.select("__id", "__h", "fp", "s.*"), "sketches")
     keys = materialize(base.groupBy("key").agg(F.min(F.struct("__id", "__h")).alias("k"), F.first("bands").alias("bands")), "keys")
-    of_row = keys.select("key", F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h"))
-    texts = keyed.select("__id", "__h", F.col(text).alias("text")).join(of_row, ["__id", "__h"]).dropDuplicates(["key"]).select("key", "text")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        rows = keys.join(wanted, "key").select("key", F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h"))
+        found = picked(keyed.select("__id", "__h", F.col(text).alias("text")), materialize(rows, "wanted"))
+        return found.dropDuplicates(["__id", "__h", "key"]).select("key", "text")
+
     roots = classes(keys.select("key", "bands"), texts, anchored(base.select("key", "fp")))
-    of = keys.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    of = keys.select("key", "k").join(roots.withColumnRenamed("node", "key"), "key", "left")
     first = of.groupBy(F.coalesce("root", "key").alias("class")).agg(F.min("k").alias("k"))
-    kept = keyed.join(first.select(F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h")), ["__id", "__h"])
-    return kept.dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    first = materialize(first.select(F.col("k.__id").alias("__id"), F.col("k.__h").alias("__h")), "first")
+    discard(keys)
+    kept = one_each(keyed, base.select("__id", "__h"), first)
+    discard(base)
+    return kept.select(*docs.columns)

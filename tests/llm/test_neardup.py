@@ -79,3 +79,32 @@ def test_links_of_both_kinds_join_in_one_class(spark):
     c = " ".join(["row"] * 4 + tail)  # linked to the first by shingles only
     docs = spark.createDataFrame([(3, a), (2, b), (1, c)], "doc_id bigint, text string")
     assert [x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+def moved(spark):
+    """Bytes of all shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_texts_that_stay_or_have_no_like_are_not_moved(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"{r.getrandbits(40):x}" for _ in range(3000))) for i in range(100)]
+    rows += [(200, rows[0][1]), (201, rows[1][1])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    before = moved(spark)
+    kept = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect())
+    assert kept == list(range(100))
+    assert moved(spark) - before < sum(len(t) for _, t in rows) / 4
+
+
+def test_rows_repeated_in_id_and_text_stay_once(spark):
+    r = random.Random(3)
+    a, b, c, d = (" ".join(f"{r.getrandbits(30):x}" for _ in range(40)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (None, c), (None, c), (3, c), (4, d), (4, d + " more"), (4, d), (5, d), (None, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(x.doc_id, x.text) for x in neardup.representatives(docs).collect()]
+    assert len(kept) == 5 and {k for k in kept if k[1] != d and k[1] != d + " more"} == {(1, a), (2, b), (None, c), (None, None)}
+    assert [k[0] for k in kept].count(4) == 1
+    assert neardup.representatives(docs.where("doc_id = 99")).collect() == []
