@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import contamination, langid, mixing, neardup, sharding
-from loomtext.llm.common import materialize, read_table, unused
+from loomtext.llm.common import materialize, read_table, small_batches, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is learned from the labelled rows of docs. With none, only letters count.
     """
+    small_batches(spark)
     model = langid.fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -31,11 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near-duplicates: texts that op1's anchors
     link (fingerprints within two bits) or that share four fifths of their five-word shingles, directly or
     through others."""
+    small_batches(spark)
     return neardup.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark windows cover one word in twenty or more."""
+    small_batches(spark)
     benchmark = read_table(spark, sf_dir, "benchmark", ("item_id", "text"))
     hits = unused(docs, "__hits")
     judged = contamination.contaminate(docs, benchmark, out=hits)
